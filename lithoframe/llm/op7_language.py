@@ -3,7 +3,8 @@
 Texts become counts of hashed byte bigrams and trigrams within words (letters in lower case; bytes above 127 count as
 letters). Document frequencies come from every training row. Centroids are fitted on PER_LANGUAGE distinct texts of each
 language at most, those with the smallest hashes, by spherical k-means; each language is one group of bounded size. A text
-gets the language of its nearest centroid; if its cosine is under REJECT_BELOW it is also marked as rejected.
+gets the language of its nearest centroid; it is also marked as rejected if its cosine is under REJECT_BELOW, or under a
+share of that in proportion for texts of fewer than FULL_GRAMS n-grams, which can't come near any centroid.
 
 Defined cases: null texts and texts without a letter get `und`, score 0, and are rejected; so is everything if no row is
 labelled. Ties go to the language that sorts first. Rows with a null language don't train. Repeated rows are each
@@ -28,7 +29,7 @@ from .common import table, text_views
 DIM = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 400, 3, 10
 MAX_LANGUAGES = 1000
-REJECT_BELOW = 0.1
+REJECT_BELOW, FULL_GRAMS = 0.2, 400
 ROWS_AT_ONCE = 512
 
 _FOLD = np.zeros(256, np.uint32)
@@ -144,16 +145,17 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
         m = shared.value
         for batch in batches:
             text = batch.column(batch.num_columns - 1)
-            pred, score = np.zeros(len(text), np.int64), np.zeros(len(text))
+            pred, score, least = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
             if m.languages:
                 for first, counts in count_blocks(text):
                     cosine = vectors(counts, m.idf) @ m.centroids.T
                     pred[first : first + len(counts)] = np.argmax(cosine, axis=1)
                     score[first : first + len(counts)] = np.clip(cosine.max(axis=1), 0, 1)
+                    least[first : first + len(counts)] = reject_below * np.minimum(1, counts.sum(axis=1) / FULL_GRAMS)
             lettered = np.fromiter(map(has_letter, text.to_pylist()), bool, len(text)) & bool(m.languages)
             score[~lettered] = 0
             name = [m.languages[p] if ok else "und" for p, ok in zip(pred, lettered, strict=True)]
-            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(name, pa.string()), pa.array(score), pa.array(score < reject_below)], names=[*keep, *new])
+            yield pa.record_batch([*batch.columns[: len(keep)], pa.array(name, pa.string()), pa.array(score), pa.array((score < least) | ~lettered)], names=[*keep, *new])
 
     return docs.select(*keep, F.col(text_col).cast("string").alias("_lf_text")).mapInArrow(judge, schema)
 
