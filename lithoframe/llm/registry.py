@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op1_audio import op1_media_columns
 from .op3_private import op3_private_data
+from .op4_lines import OP4_SQL, op4_line_dedup
 from .op5_urls import OP5_SQL, op5_url_filters
 from .op6_secrets import OP6_SQL, op6_secret_scan
 from .op7_language import op7_language_id
@@ -11,8 +12,9 @@ from .op7_language import op7_language_id
 QUERIES = {
     "op1_media_columns": op1_media_columns,
     "op3_private_data": op3_private_data,
+    "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
 }
-SQL = {"op5_url_filters": OP5_SQL, "op6_secret_scan": OP6_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_secret_scan": OP6_SQL}
