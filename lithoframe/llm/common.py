@@ -82,6 +82,9 @@ _LOWER[65:91] += 32
 _LOWERED = _BYTE[_LOWER]
 _WORD = np.ones(256, bool)
 _WORD[list(SEPARATORS)] = False
+#: Words of letters and digits only: ASCII punctuation and control bytes separate too.
+PLAIN_WORD = np.zeros(256, bool)
+PLAIN_WORD[48:58] = PLAIN_WORD[65:91] = PLAIN_WORD[97:123] = PLAIN_WORD[128:] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -103,13 +106,13 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a slice: their start and end bytes, a 64-bit hash of each in lower case (A-Z), and each row's first word's number (one more at the end)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a slice, runs of the bytes that `word` has: their start and end bytes, a 64-bit hash of each in lower case (A-Z), and each row's first word's number (one more at the end)."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data]
+    inside = word[data]
     edge = np.zeros(n, bool)  # a row's first byte starts a word of its own
     edge[offsets[:-1][offsets[:-1] < n]] = True
     before = np.empty(n, bool)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .op10_decontaminate import op10_decontamination
 from .op1_audio import op1_media_columns
 from .op3_private import op3_private_data
 from .op4_lines import OP4_SQL, op4_line_dedup
@@ -16,5 +17,6 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
+    "op10_decontamination": op10_decontamination,
 }
 SQL = {"op4_line_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_secret_scan": OP6_SQL}
