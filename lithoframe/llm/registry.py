@@ -10,6 +10,7 @@ from .op5_urls import OP5_SQL, op5_url_filters
 from .op6_secrets import OP6_SQL, op6_secret_scan
 from .op7_language import op7_language_id
 from .op8_pieces import op8_sentencepiece
+from .op9_quality import op9_quality
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op7_language_id": op7_language_id,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality": op9_quality,
     "op10_decontamination": op10_decontamination,
 }
 SQL = {"op4_line_dedup": OP4_SQL, "op5_url_filters": OP5_SQL, "op6_secret_scan": OP6_SQL}
