@@ -5,9 +5,10 @@ at a marked line whose predecessor isn't marked, so its boundaries hang on three
 whatever is inserted or removed elsewhere; chunks have two lines or more. The last chunk takes what is left.
 
 Chunks meet by 64-bit hash and length. The first occurrence (by id, text hash, chunk number) stays; another one goes only
-if its bytes are those of the first. All of it is DataFrame operations: one shuffle of chunk texts by their key, and one of
-texts by id for the rewrite. Counts combine on the map side, and both joins are inner or left joins of many rows against
-one row for each key, so a key that a third of all rows share can be split over tasks.
+if its bytes are those of the first. All of it is DataFrame operations. Keys are counted without texts; texts are
+shuffled by id to get the bytes of those chunks whose key occurs again, and to rewrite. Counts combine on the map side, and
+joins by key are inner joins of many rows against one row for each key, so a key that a third of all rows share can be
+split over tasks.
 
 Defined cases: a null text stays null; an empty text is one empty line; a text of one line has no chunk of several lines
 and stays; repeated rows (same id and text) are one document and stay equal; rows with a null id are documents like others;
@@ -21,10 +22,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 MIN_LINES = 2
-_NEW = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+_NEW = ("n_lines", "n_removed_chunks", "n_removed_lines")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -43,8 +44,8 @@ def _ends(hashes: Column) -> Column:
     return _let(marked, inner)
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with _lf_id, _lf_h and _lf_chunks, the list of (no, lines, text)."""
+def _chunks(text_col: str) -> Column:
+    """The list of (no, lines, text) of all chunks; null for a null text."""
 
     def chunks(lines: Column) -> Column:
         def each(ends: Column) -> Column:
@@ -53,30 +54,36 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         return _let(_ends(F.transform(lines, F.md5)), each)
 
-    found = F.when(F.col(text_col).isNotNull(), _let(F.split(text_col, "\n", -1), chunks))
-    return docs.withColumns({"_lf_id": F.col(id_col).cast("string"), "_lf_h": F.xxhash64(text_col), "_lf_chunks": found})
+    return F.when(F.col(text_col).isNotNull(), _let(F.split(text_col, "\n", -1), chunks))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
-    """docs with the text rewritten, and the numbers of lines, chunks, removed chunks and removed lines."""
+    """docs with the text rewritten, and the numbers of lines, removed chunks and removed lines."""
     keep = [c for c in docs.columns if c not in _NEW]
-    small = _chunked(docs.select(id_col, text_col), id_col, text_col).select("_lf_id", "_lf_h", F.explode("_lf_chunks").alias("c"))
-    each = small.where(F.col("c.lines") >= min_lines).select("_lf_id", "_lf_h", F.col("c.no").alias("no"), F.col("c.text").alias("chunk")).withColumns({"key": F.xxhash64("chunk"), "bytes": F.octet_length("chunk")})
+    names = {"_lf_id": F.col(id_col).cast("string"), "_lf_h": F.xxhash64(text_col)}
+    small = docs.select(F.col(id_col), F.col(text_col)).withColumns({**names, "_lf_chunks": _chunks(text_col)})
+    each = small.select("_lf_id", "_lf_h", F.explode("_lf_chunks").alias("c")).where(F.col("c.lines") >= min_lines)
+    each = cut(each.select("_lf_id", "_lf_h", F.col("c.no").alias("no"), F.xxhash64("c.text").alias("key"), F.octet_length("c.text").alias("bytes")), "line-chunks")
     first = each.groupBy("key", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("_lf_id", "_lf_h", "no")).alias("at")).where("n > 1").drop("n")
-    again = each.join(first, ["key", "bytes"]).withColumn("same", F.struct("_lf_id", "_lf_h", "no").eqNullSafe(F.col("at")))
-    kept = again.where("same").select(F.col("key").alias("k"), F.col("bytes").alias("b"), F.col("chunk").alias("original")).dropDuplicates(["k", "b"])
-    gone = again.where("not same").join(kept, (F.col("key") == F.col("k")) & (F.col("bytes") == F.col("b"))).where(F.col("chunk") == F.col("original"))
-    gone = gone.groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set("no").alias("_lf_gone"))
-    plain = docs.select(*keep).withColumns({"_lf_id": F.col(id_col).cast("string"), "_lf_h": F.xxhash64(text_col)})
-    joined = plain.join(gone, F.col("_lf_id").eqNullSafe(F.col("gid")) & F.col("_lf_h").eqNullSafe(F.col("gh")), "left").drop("_lf_id", "_lf_h", "gid", "gh")
-    done = _chunked(joined, id_col, text_col)
-    removed = F.filter("_lf_chunks", lambda c: F.array_contains("_lf_gone", c["no"]))
-    left = F.filter("_lf_chunks", lambda c: ~F.array_contains("_lf_gone", c["no"]))
+    again = each.join(first, ["key", "bytes"]).withColumn("first", F.struct("_lf_id", "_lf_h", "no").eqNullSafe(F.col("at")))
+    by_doc = again.groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set(F.struct("no", "key", "bytes", "first")).alias("_lf_again"))
+    same_doc = F.col("_lf_id").eqNullSafe(F.col("gid")) & F.col("_lf_h").eqNullSafe(F.col("gh"))
+    plain = docs.select(*keep).withColumns(names)
+    # bytes of the chunks that have an equal key somewhere, and of no others
+    held = plain.join(by_doc, same_doc).select("gid", "gh", "_lf_again", _chunks(text_col).alias("_lf_chunks"))
+    texts = F.transform("_lf_again", lambda r: F.struct(r.alias("r"), F.element_at("_lf_chunks", r["no"] + 1)["text"].alias("chunk")))
+    held = cut(held.select("gid", "gh", F.explode(texts).alias("x")).select("gid", "gh", "x.r.*", "x.chunk"), "line-repeats")
+    kept = held.where("first").select(F.col("key").alias("k"), F.col("bytes").alias("b"), F.col("chunk").alias("original")).dropDuplicates(["k", "b"])
+    gone = held.where("not first").join(kept, (F.col("key") == F.col("k")) & (F.col("bytes") == F.col("b"))).where(F.col("chunk") == F.col("original"))
+    gone = gone.groupBy("gid", "gh").agg(F.collect_set("no").alias("_lf_gone"))
+    joined = plain.join(gone, same_doc, "left").drop("_lf_id", "_lf_h", "gid", "gh")
+    parted = F.when(F.col("_lf_gone").isNotNull(), _let(_chunks(text_col), lambda all_: F.struct(F.filter(all_, lambda c: F.array_contains("_lf_gone", c["no"])).alias("gone"), F.filter(all_, lambda c: ~F.array_contains("_lf_gone", c["no"])).alias("left"))))
+    lines = F.char_length(text_col) - F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
+    done = joined.withColumns({"_lf_parts": parted, "n_lines": F.coalesce(lines, F.lit(0)).cast("long")})
     done = done.withColumns({
-        "n_lines": F.coalesce(F.aggregate("_lf_chunks", F.lit(0).cast("long"), lambda n, c: n + c["lines"]), F.lit(0).cast("long")), "n_chunks": F.coalesce(F.size("_lf_chunks"), F.lit(0)).cast("long"),
-        "n_removed_chunks": F.when(F.col("_lf_gone").isNotNull(), F.size(removed)).otherwise(0).cast("long"),
-        "n_removed_lines": F.when(F.col("_lf_gone").isNotNull(), F.aggregate(removed, F.lit(0).cast("long"), lambda n, c: n + c["lines"])).otherwise(0).cast("long"),
-        text_col: F.when(F.col("_lf_gone").isNotNull(), F.array_join(F.transform(left, lambda c: c["text"]), "\n")).otherwise(F.col(text_col)),
+        "n_removed_chunks": F.coalesce(F.size("_lf_parts.gone"), F.lit(0)).cast("long"),
+        "n_removed_lines": F.coalesce(F.aggregate("_lf_parts.gone", F.lit(0).cast("long"), lambda n, c: n + c["lines"]), F.lit(0).cast("long")),
+        text_col: F.when(F.col("_lf_gone").isNotNull(), F.array_join(F.transform("_lf_parts.left", lambda c: c["text"]), "\n")).otherwise(F.col(text_col)),
     })
     return done.select(*keep, *_NEW)
 
@@ -92,7 +99,7 @@ b AS (SELECT *, i < n - 1 AND i >= 2 AND hit AND NOT lag(hit, 1, false) OVER (PA
 c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
 k AS (SELECT doc_id, no, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, no),
 r AS (SELECT *, lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY CAST(doc_id AS VARCHAR), no) > 1 AS gone FROM k)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') END AS text, coalesce(CAST(sum(lines) AS BIGINT), 0) AS n_lines, count(r.no) AS n_chunks,
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') END AS text, coalesce(CAST(sum(lines) AS BIGINT), 0) AS n_lines,
   count(r.no) FILTER (gone) AS n_removed_chunks, coalesce(CAST(sum(lines) FILTER (gone) AS BIGINT), 0) AS n_removed_lines
 FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, d.text
 """
