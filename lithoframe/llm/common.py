@@ -140,10 +140,10 @@ def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:
     if not n:
         return hashes
     if n < size:
-        total = np.uint64(n)
-        for h in hashes:
-            total = (total * _ROLL + h) & np.uint64(0xFFFFFFFFFFFFFFFF)
-        return mix(np.array([total], np.uint64))
+        total = np.full(1, n, np.uint64)
+        for k in range(n):
+            total = total * _ROLL + hashes[k : k + 1]
+        return mix(total)
     total = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
         total = total * _ROLL + hashes[k : n - size + 1 + k]

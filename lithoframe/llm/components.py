@@ -1,0 +1,37 @@
+"""Connected components of edge tables by contraction: every round each node joins its smallest neighbour, and edges shrink."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+MAX_ROUNDS = 60
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, comp) for every node of edges(a, b), of any one type that has an order; comp is the same within a component.
+
+    A round: every node points at the least of itself and its neighbours; pointers are followed once more; edges move to
+    what their ends point at, and those within a node go. Labels of earlier rounds follow. All tables are cut to the
+    shared folder, nothing is collected, and a hot node is one key of a min() that combines on the map side, or the many
+    side of a join.
+    """
+    labels = None
+    live = cut(edges.select("a", "b").where("a != b").distinct(), "edges")
+    for _ in range(MAX_ROUNDS):
+        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        parent = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
+        up = parent.select(F.col("a").alias("p"), F.col("p").alias("pp"))
+        parent = cut(parent.join(up, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "parents")
+        if labels is None:
+            labels = parent.select(F.col("a").alias("node"), F.col("p").alias("comp"))
+        else:
+            labels = cut(labels.join(parent, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
+        pa_, pb = parent.select("a", F.col("p").alias("na")), parent.select(F.col("a").alias("b"), F.col("p").alias("nb"))
+        live = live.join(pa_, "a").join(pb, "b").where("na != nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()
+        live = cut(live, "edges")
+        if live.isEmpty():
+            return labels
+    raise RuntimeError(f"edges are left after {MAX_ROUNDS} rounds")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .op10_decontaminate import op10_decontamination
 from .op1_audio import op1_media_columns
+from .op2_jaccard import op2_jaccard_join
 from .op3_private import op3_private_data
 from .op4_lines import OP4_SQL, op4_line_dedup
 from .op5_urls import OP5_SQL, op5_url_filters
@@ -14,6 +15,7 @@ from .op9_quality import op9_quality
 
 QUERIES = {
     "op1_media_columns": op1_media_columns,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_private_data": op3_private_data,
     "op4_line_dedup": op4_line_dedup,
     "op5_url_filters": op5_url_filters,
