@@ -91,10 +91,11 @@ def downsample_scale(cells: int, most: int = C.MAX_CELLS) -> float:
 def downsample(cells: DataFrame, rows: int, cols: int, scale: float) -> tuple[DataFrame, int, int]:
     """Nearest-cell grid of scale times the size: new cells take the cell that their index points back to."""
     h, w = max(1, int(rows * scale)), max(1, int(cols * scale))
-    pick = lambda n, m: F.explode(F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * num(n / m)) == F.col("_at")))
-    df = cells.withColumn("_at", F.col("row_id").cast("long")).withColumn("row_id", pick(rows, h).cast("int"))
-    df = df.withColumn("_at", F.col("col_id").cast("long")).withColumn("col_id", pick(cols, w).cast("int"))
-    return df.drop("_at"), h, w
+    for axis, n, m in (("row_id", rows, h), ("col_id", cols, w)):
+        ratio, here = num(n / m), F.col(axis)
+        back = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * ratio) == here)  # noqa: B023  it is called at once
+        cells = cells.withColumn("_to", F.explode(back)).withColumn(axis, F.col("_to").cast("int")).drop("_to")
+    return cells, h, w
 
 
 def upsample(cells: DataFrame, value: str, rows: int, cols: int, to_rows: int, to_cols: int) -> DataFrame:
