@@ -75,8 +75,9 @@ def write_geojson(df: DataFrame, path: str, geometry: str, kind: str, properties
 def read_geojson(spark: SparkSession, path: str, kind: str, properties: str) -> DataFrame:
     """Newline-delimited features, or collections: the properties and `geometry` as a point or an array of points."""
     depth = {"Point": "array<double>", "LineString": "array<array<double>>", "Polygon": "array<array<array<double>>>"}[kind]
-    feature = f"type string, properties struct<{properties}>, geometry struct<type: string, coordinates: {depth}>"
-    rows = spark.read.schema(f"{feature}, features array<struct<{feature.replace(' string', ': string').replace(' struct', ': struct', 2)}>>").option("multiLine", False).json(path)
+    feature = f"type: string, properties: struct<{properties}>, geometry: struct<type: string, coordinates: {depth}>"
+    top = f"type string, properties struct<{properties}>, geometry struct<type: string, coordinates: {depth}>, features array<struct<{feature}>>"
+    rows = spark.read.schema(top).json(path)
     each = rows.select(F.explode(F.coalesce("features", F.array(F.struct("type", "properties", "geometry")))).alias("f"))
     pair = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     c = F.col("f.geometry.coordinates")
