@@ -1,48 +1,32 @@
-"""Helpers that the operators of this folder share: tables, the shared folder, Arrow text access, word hashing."""
+"""Helpers that the operators of this folder share: Arrow text access and word hashing, beside those of the library."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from ..session import cut, release, shared_dir, table
+
+__all__ = ["PLAIN_WORD", "cut", "mix", "release", "shared_dir", "shingles_of", "small_batches", "table", "text_views", "words_of"]
 
 #: Word separators of the contracts: blank and the bytes 9 to 13.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests on one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lithoframe-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors recompute nothing before it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lithoframe-cuts/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def small_batches(df: DataFrame) -> None:
+    """Let Python workers take BATCH_ROWS rows at a time at most, as rows hold whole texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
 
 def text_views(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, shingles_of, table, text_views, words_of
+from .common import PLAIN_WORD, shingles_of, small_batches, table, text_views, words_of
 
 SEED_WORDS, RARE_DOCS = 4, 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
@@ -202,6 +202,7 @@ def _counted(docs: DataFrame, block: Block) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.record_batch({"k": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
+    small_batches(docs)
     out = np.zeros(len(block.distinct()), np.int64)
     for r in docs.select(F.col("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         out[r.k] = r.n

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 
 UNIT, FILL = 576, 255
 RATE, UP, DOWN = 16_000, 1, 2
@@ -195,6 +195,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def audio_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
     """One row for each row of docs: digests and, unless digest_only, the WAV file, the tensors and the segments."""
+    small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return rows.mapInArrow(_digest, DIGEST_SCHEMA) if digest_only else rows.mapInArrow(_full, MEDIA_SCHEMA)
 

@@ -12,12 +12,15 @@ both sets agree for free, so a band has more segments to make up for those that
 has more empty ones still is entered under further seeds, and at last under a key of its band that all such sets share.
 No pair is lost.
 
-Verification. Where a key has few nodes all pairs are candidates, where it has many they are compared with a leader. A
-candidate pair must first pass the Hamming distance of whole (folded) sketches; then one pair of each node, that of the
-least distance, is verified on the sets themselves, and links join components. Second round: all candidates whose ends are
-in different components still, including every such pair of nodes under keys of many nodes, are verified. After it no
-candidate is left whose ends are not in one component or known to differ, so components are exact, and a large group of
-copies costs in proportion to its members, not to their pairs.
+Verification. Under a key of few nodes all pairs are candidates; a pair must first pass the Hamming distance of whole
+(folded) sketches. Under a key of many nodes each node is held against one leader, the best connected of them, and a node
+may leave out its most frequent keys, as alike sets share several (prefix filter); pairs under rarer keys must share
+as many. First round: every node is verified on
+the sets against its leaders and its nearest candidate; links join components. Second round: pairs of nodes near a leader
+that are not both alike to it must share much of their differences from it and are found by them; nodes far from a leader
+meet the others that aren't alike to it; and candidates of the first kind whose ends are in different components still
+are verified. Every pair of alike sets that shares a key is in one of these cases, so components are exact, and a large
+group of copies costs in proportion to its members and to what they differ in, not to their pairs.
 
 Layout. Texts are read where they lie; keys travel as packed arrays, one row for each document and bucket of keys; a
 task keeps one of equal sets. Sets travel only for nodes that are in a candidate pair. Leaders with many members are
@@ -38,20 +41,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import cut, mix, release, shingles_of, table, text_views, words_of
-from .components import components
+from ..operators.components import components
+from .common import cut, mix, release, shingles_of, small_batches, table, text_views, words_of
 
 SIZE = 5
 #: The threshold t as a fraction.
 NUM, DEN = 80, 100
 SEGMENT_BITS = 4096
+#: A set is near a leader if it differs from it by this share of its size at most. It must be over what two links in a row can
+#: differ by: for t = 0.8, (2.25 + 2.8125) / 9 = 0.5625 of the first set's size.
+FAR_NUM, FAR_DEN = 1, 1
 SEEDS = 6
-FEW = 6  # nodes under a key of which all pairs are taken
-LEADERS = 4
+FEW = 3  # nodes under a key of which all pairs are taken
 SALT_MEMBERS = 2000
-KEYS_PER_BUCKET, PACK_KEYS = 1_000_000, 2_000_000
-KEEP_NODES = 1_000_000  # nodes that a task remembers having sent
+BROADCAST_PAIRS = 200_000  # up to so many, which is counted, their ends are sent to all tasks
+KEYS_PER_BUCKET, PACK_KEYS = 2_000_000, 500_000
+ROWS_AT_ONCE = 512  # sets that are Python objects at once
+KEEP_NODES = 300_000  # nodes that a task remembers having sent
 
 U = np.uint64
 
@@ -87,19 +95,23 @@ def layout(band: int, limit: int) -> tuple[int, int]:
 _PLACE = mix(np.arange(SEGMENT_BITS, dtype=np.uint64) + U(1234567))
 
 
-def segment_keys(members: np.ndarray, band: int, k: int, segments: int) -> np.ndarray:
-    """Join keys of one set (sorted hashes) in one band."""
+def segment_keys(members: np.ndarray, band: int, k: int, segments: int) -> tuple[np.ndarray, int]:
+    """Join keys of one set (sorted hashes) in one band, and how many keys a set that is alike must share beyond one.
+
+    The band stands in a key's first byte. Of two alike sets all segments but k agree, and at least as many keys less the
+    empty segments are shared.
+    """
     keys = []
     for seed in range(SEEDS):
         x = members if seed == 0 else np.sort(mix(members ^ U(seed * 0x9E3779B9)))
         own = ((x >> U(32)) * U(segments)) >> U(32)  # hashes are sorted, so segments are runs
         heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         parity = np.bitwise_xor.reduceat(_PLACE[(x & U(SEGMENT_BITS - 1)).astype(np.int64)], heads)
-        keys.append(mix(parity ^ mix(own[heads] + U(((band * SEEDS + seed) << 32) + 77))))
-        if k == 0 or segments - len(heads) < segments - k:
-            return np.concatenate(keys)
-    keys.append(mix(np.array([(band << 8) + 5], np.uint64)))
-    return np.concatenate(keys)
+        keys.append((mix(parity ^ mix(own[heads] + U((seed << 32) + 77))) >> U(8)) | U(band << 56))
+        if k == 0 or len(heads) > k:
+            return np.concatenate(keys), len(heads) - k - 1 if seed == 0 else 0
+    keys.append(np.array([(band << 56) + 5], np.uint64))
+    return np.concatenate(keys), 0
 
 
 def folded(members: np.ndarray) -> bytes:
@@ -160,27 +172,31 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "chk": pa.array(check, pa.int64()), "sketch": pa.array(sketch, pa.binary())})
 
 
-def _packed(buckets: int, nodes: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket: the nodes, how many keys each has there, and the keys."""
+def _packed(buckets: int, nodes: list[int], skips: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
+    """One row for each bucket: the nodes, how many keys each has there, how many it may skip, and the keys."""
     sizes = np.array([len(k) for k in keys])
     flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
-    bucket = ((flat >> U(40)) % U(buckets)).astype(np.int32)
+    bucket = (((flat >> U(20)) & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     flat, owner, bucket = flat[order], owner[order], bucket[order]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     runs = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
-    counts, who = np.diff(np.append(runs, len(flat))).astype(np.int32), np.array(nodes, np.int64)[owner[runs]]
+    times = np.diff(np.append(runs, len(flat)))
+    if times.max() > 255:  # a run that is too long for its counter goes as several
+        runs = np.concatenate([np.arange(r, r + t, 255) for r, t in zip(runs.tolist(), times.tolist(), strict=True)])
+        times = np.diff(np.append(runs, len(flat)))
+    counts, who, skip = times.astype(np.uint8), np.array(nodes, np.int64)[owner[runs]], np.minimum(np.array(skips, np.int64)[owner[runs]], 255).astype(np.uint8)
     cuts = np.append(np.searchsorted(runs, heads), len(runs))
     ends = np.append(heads, len(flat))
     pack = lambda x, at: pa.array([x[s:e].tobytes() for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
-    return pa.record_batch({"bucket": pa.array(bucket[heads]), "nodes": pack(who, cuts), "counts": pack(counts, cuts), "keys": pack(flat, ends)})
+    return pa.record_batch({"bucket": pa.array(bucket[heads]), "nodes": pack(who, cuts), "counts": pack(counts, cuts), "skips": pack(skip, cuts), "keys": pack(flat, ends)})
 
 
 def _emit(buckets: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         edges, plans = bands(limit), {}
-        nodes, keys, held = [], [], 0
+        nodes, skips, keys, held = [], [], [], 0
         for batch in batches:
             for _, own in sets_of(batch.column(0)):
                 if not len(own) or (node := node_of(own)[0]) in seen:
@@ -191,125 +207,117 @@ def _emit(buckets: int, limit: int):
                 for g in range(max(0, band - 1), band + 1):
                     if g not in plans:
                         plans[g] = layout(g, limit)
+                    got, skip = segment_keys(own, g, *plans[g])
                     nodes.append(node)
-                    keys.append(segment_keys(own, g, *plans[g]))
-                    held += len(keys[-1])
+                    skips.append(skip)
+                    keys.append(got)
+                    held += len(got)
                 if held > PACK_KEYS:
-                    yield _packed(buckets, nodes, keys)
-                    nodes, keys, held = [], [], 0
+                    yield _packed(buckets, nodes, skips, keys)
+                    nodes, skips, keys, held = [], [], [], 0
         if held:
-            yield _packed(buckets, nodes, keys)
+            yield _packed(buckets, nodes, skips, keys)
 
     return run
 
 
-_ODD = mix(np.arange(LEADERS, dtype=np.uint64) + U(99)) | U(1)
-
-
-def _inverse(odd: np.uint64) -> np.uint64:
-    x = odd
-    with np.errstate(over="ignore"):
-        for _ in range(6):
-            x = x * (U(2) - odd * x)
-    return x
-
-
-_UNDO = np.array([_inverse(o) for o in _ODD], np.uint64)
-
-
-def meet(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of one bucket's (key, node): candidate pairs (a, b), and the (key, node) rows of keys with many nodes."""
+def meet(keys: np.ndarray, nodes: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of one bucket's (key, node, skip): rows (a, b, skip, band, shared keys) of pairs under keys of FEW nodes at most, and the rows of keys with more."""
     order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, skips = keys[order], nodes[order], skips[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
-    keys, nodes = keys[new], nodes[new]
+    keys, nodes, skips = keys[new], nodes[new], skips[new]
     if not len(keys):
-        return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+        return np.zeros((0, 5), np.int64), np.zeros((0, 3), np.int64)
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     sizes = np.diff(np.append(heads, len(keys)))
-    pairs = []
+    found = []
     for size in range(2, FEW + 1):
         own = heads[sizes == size]
-        pairs += [np.stack([nodes[own + i], nodes[own + j]], axis=1) for i in range(size) for j in range(i + 1, size)] if len(own) else []
+        found += [np.stack([nodes[own + i], nodes[own + j], np.maximum(skips[own + i], skips[own + j]), (keys[own] >> U(56)).astype(np.int64)], axis=1) for i in range(size) for j in range(i + 1, size)] if len(own) else []
+    pairs = np.zeros((0, 5), np.int64)
+    if found:
+        found = np.concatenate(found)
+        found = found[np.lexsort((found[:, 3], found[:, 1], found[:, 0]))]
+        first = np.flatnonzero(np.concatenate([[True], (found[1:, [0, 1, 3]] != found[:-1, [0, 1, 3]]).any(axis=1)]))
+        pairs = np.concatenate([found[first], np.diff(np.append(first, len(found)))[:, None]], axis=1)
     many = np.repeat(sizes > FEW, sizes)
-    k, v = keys[many], nodes[many]
-    if len(k):
-        # one of LEADERS orders for each key: nodes meet the same few leaders under all their keys
-        h = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        which = (k[h] & U(LEADERS - 1)).astype(np.int64)
-        times = np.diff(np.append(h, len(k)))
-        leader = np.minimum.reduceat(v.view(np.uint64) * np.repeat(_ODD[which], times), h) * _UNDO[which]
-        leader = np.repeat(leader.view(np.int64), times)
-        pairs.append(np.stack([np.minimum(leader, v), np.maximum(leader, v)], axis=1)[leader != v])
-    pairs = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    if len(pairs):
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
-    return pairs, np.stack([k.view(np.int64), v], axis=1) if len(k) else np.zeros((0, 2), np.int64)
+    return pairs, np.stack([keys[many].view(np.int64), nodes[many], skips[many]], axis=1)
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per partition, bucket by bucket as they come sorted: rows (kind 0: pair a, b; kind 1: key a, node b)."""
-    held_k: list[np.ndarray] = []
-    held_n: list[np.ndarray] = []
+    """Per partition, bucket by bucket as they come sorted: rows (kind 0: pair a, b of a band with the keys that they share; kind 1: key a with many nodes, its node b, skip)."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     now = None
 
     def done() -> Iterator[pa.RecordBatch]:
-        if held_k:
-            pairs, many = meet(np.concatenate(held_k), np.concatenate(held_n))
-            both = np.concatenate([pairs, many])
+        if held:
+            pairs, many = meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            both = np.concatenate([pairs, np.pad(many, ((0, 0), (0, 2)))])
             kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(many)])
             for at in range(0, len(both), 1 << 18):
-                yield pa.record_batch({"kind": pa.array(kind[at : at + (1 << 18)]), "a": pa.array(both[at : at + (1 << 18), 0]), "b": pa.array(both[at : at + (1 << 18), 1])})
-        held_k.clear()
-        held_n.clear()
+                part = both[at : at + (1 << 18)]
+                yield pa.record_batch({"kind": pa.array(kind[at : at + (1 << 18)]), "a": pa.array(part[:, 0]), "b": pa.array(part[:, 1]), "skip": pa.array(part[:, 2].astype(np.int32)), "band": pa.array(part[:, 3].astype(np.int32)), "shared": pa.array(part[:, 4].astype(np.int32))})
+        held.clear()
 
     for batch in batches:
-        for bucket, nodes, counts, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for bucket, nodes, counts, skips, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if bucket != now:
                 yield from done()
                 now = bucket
-            held_k.append(np.frombuffer(keys, np.uint64))
-            held_n.append(np.repeat(np.frombuffer(nodes, np.int64), np.frombuffer(counts, np.int32)))
+            times = np.frombuffer(counts, np.uint8)
+            held.append((np.frombuffer(keys, np.uint64), np.repeat(np.frombuffer(nodes, np.int64), times), np.repeat(np.frombuffer(skips, np.uint8), times).astype(np.int64)))
     yield from done()
 
 
+def _measured(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y, n, m = (batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))
+    return np.array([hamming(p, q) for p, q in zip(x, y, strict=True)], np.int64), np.array(n, np.int64), np.array(m, np.int64)
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sizes and sketches leave them a chance, with the sketches' distance."""
-    for batch in batches:
-        x, y, n, m = (batch.column(c).to_pylist() for c in ("sa", "sb", "na", "nb"))
-        d = np.array([hamming(p, q) for p, q in zip(x, y, strict=True)], np.int64)
-        n, m = np.array(n, np.int64), np.array(m, np.int64)
+    for batch in (b.slice(k, 16 * ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, 16 * ROWS_AT_ONCE)):
+        d, n, m = _measured(batch)
         ok = ((DEN + NUM) * d <= (DEN - NUM) * (n + m)) & (NUM * np.maximum(n, m) <= DEN * np.minimum(n, m))
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "d": pa.array(d)}).filter(pa.array(ok))
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        d, _, m = _measured(batch)
+        yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "d": pa.array(d)}).filter(pa.array(FAR_DEN * d <= FAR_NUM * m))
+
+
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, salt, role, node, text) to the same with the set's bytes; a text of another set under the same id goes."""
-    names = ["leader", "salt", "role", "node", "members"]
+    """(leader, salt, role, node, want, text) to the same with the set's bytes; a text of another set under the same id goes."""
+    names = ["leader", "salt", "role", "node", "want", "members"]
     for batch in batches:
         node = batch.column(3).to_numpy()
         rows, sets, held = [], [], 0
-        for row, own in sets_of(batch.column(4)):
+        for row, own in sets_of(batch.column(5)):
             if not len(own) or node_of(own)[0] != node[row]:
                 continue
             rows.append(row)
             sets.append(own.tobytes())
             held += 8 * len(own)
-            if held > 16 << 20:
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:4]), pa.array(sets, pa.binary())], names=names)
+            if held > 8 << 20:
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:5]), pa.array(sets, pa.binary())], names=names)
                 rows, sets, held = [], [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:4]), pa.array(sets, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:5]), pa.array(sets, pa.binary())], names=names)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members against the leader that comes before them in the sorted partition; one leader's set is held."""
+    """Members against the leader that comes before them in the sorted partition; one leader's set is held.
+
+    Each pair tells whether it is alike; where it is wanted, a pair that is near carries the
+    difference's hashes too.
+    """
     leader, held = None, None
-    for batch in batches:
-        a, b, inter = [], [], []
-        for l, role, node, members in zip(batch.column("leader").to_pylist(), batch.column("role").to_pylist(), batch.column("node").to_pylist(), batch.column("members").to_pylist(), strict=True):
+    for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+        a, b, ok, n, diff = [], [], [], [], []
+        for l, role, node, want, members in zip(*(batch.column(c).to_pylist() for c in ("leader", "role", "node", "want", "members")), strict=True):
             own = np.frombuffer(members, np.uint64)
             if role == 0:
                 leader, held = l, own
@@ -317,39 +325,77 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 small, large = (own, held) if len(own) <= len(held) else (held, own)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 same = int((large[at] == small).sum())
-                if alike(same, len(own), len(held)):
-                    a.append(l)
-                    b.append(node)
-                    inter.append(same)
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "inter": pa.array(inter, pa.int64())})
-
-
-def _screen(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that pass sizes and sketches, with their distance d."""
+                a.append(l)
+                b.append(node)
+                ok.append(bool(alike(same, len(own), len(held))))
+                n.append(len(own))
+                near = want and FAR_DEN * (len(own) + len(held) - 2 * same) <= FAR_NUM * len(own)
+                diff.append(np.setxor1d(own, held, assume_unique=True).view(np.int64).tobytes() if near else None)
+        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(ok, pa.bool_()), "n": pa.array(n, pa.int64()), "diff": pa.array(diff, pa.binary())})
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, diff) to a row for each hash of the difference, cut to 31 bits; equal ones that weren't only add candidates."""
+    for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
+        held = batch.column("diff").to_pylist()
+        at = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) // 8 for x in held]))
+        values = (np.frombuffer(b"".join(held), np.uint64) >> U(33)).astype(np.int32)
+        yield pa.record_batch({"a": batch.column("a").take(at), "b": batch.column("b").take(at), "e": pa.array(values)})
+
+
+def _screen(pairs: DataFrame, nodes: DataFrame, near: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) that sizes and sketches leave a chance to be alike, with their distance d; with near, those that may be near."""
     side = lambda x, n, s: nodes.select(F.col("node").alias(x), F.col("n").alias(n), F.col("sketch").alias(s))
     both = pairs.join(side("a", "na", "sa"), "a").join(side("b", "nb", "sb"), "b")
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_close, "a long, b long, d long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near if near else _close, "a long, b long, d long")
 
 
-def _links(pairs: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame:
-    """Which of pairs(a, b) are alike, by their sets; a is the leader. rep(node, doc_id) names a document of each node."""
+def _compare(pairs: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b, alike, n, diff) of pairs(a, b, want) by their sets; a is the leader. rep(node, doc_id) names a document of each node."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
     salted = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = salted.select(F.col("a").alias("leader"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"))
-    leaders = salted.select(F.col("a").alias("leader"), "salt").distinct().select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("node"))
+    members = salted.select(F.col("a").alias("leader"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"), "want")
+    leaders = salted.select(F.col("a").alias("leader"), "salt").distinct().select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("node"), F.lit(False).alias("want"))
     roles = members.unionByName(leaders).join(rep, "node")
-    texts = docs.join(roles, F.col("id") == F.col("doc_id")).select("leader", "salt", "role", "node", "text")
-    sets = texts.mapInArrow(_with_sets, "leader long, salt int, role int, node long, members binary")
+    if pairs.count() <= BROADCAST_PAIRS:  # else texts are shuffled by id
+        roles = F.broadcast(roles)
+    texts = docs.join(roles, F.col("id") == F.col("doc_id")).select("leader", "salt", "role", "node", "want", "text")
+    sets = texts.mapInArrow(_with_sets, "leader long, salt int, role int, node long, want boolean, members binary")
     placed = sets.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return placed.mapInArrow(_verify, "a long, b long, inter long")
+    return placed.mapInArrow(_verify, "a long, b long, alike boolean, n long, diff binary")
 
 
 def _candidates(rows: DataFrame, most: int, total: int) -> DataFrame:
-    """Rows (kind 0: pair a, b of nodes; kind 1: key a with many nodes, its node b), cut."""
+    """Rows (kind 0: pair a, b of nodes; kind 1: key a with many nodes, its node b; and what meet() tells of them), cut."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    buckets = parts * max(3, -(-int(total * 0.6) // (KEYS_PER_BUCKET * parts)))
-    placed = rows.select("text").mapInArrow(_emit(buckets, most), "bucket int, nodes binary, counts binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
-    return cut(placed.mapInArrow(_meet, "kind int, a long, b long"), "met")
+    buckets = parts * max(1, -(-int(total * 0.6) // (KEYS_PER_BUCKET * parts)))
+    placed = rows.select("text").mapInArrow(_emit(buckets, most), "bucket int, nodes binary, counts binary, skips binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    return cut(placed.mapInArrow(_meet, "kind int, a long, b long, skip int, band int, shared int"), "met")
+
+
+def _paired(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) under keys of few nodes that share enough keys of a band, counting as shared all keys of many nodes that a has."""
+    pairs = met.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("shared").alias("shared"), F.max("skip").alias("skip"))
+    popular = met.where("kind = 1").groupBy(F.col("b").alias("a"), F.shiftrightunsigned("a", 56).cast("int").alias("band")).agg(F.count("*").alias("popular"))
+    enough = pairs.where("shared > skip").select("a", "b")
+    perhaps = pairs.where("shared <= skip").join(popular, ["a", "band"]).where("shared + popular > skip").select("a", "b")
+    return enough.unionByName(perhaps).distinct()
+
+
+def _crowded(met: DataFrame) -> DataFrame:
+    """(key, node, leader) of keys with many nodes, cut.
+
+    A node leaves out its most frequent keys of a band, one fewer than it shares with any set that is alike (prefix
+    filter in the order of frequency). A key's leader is the node under most rows of such keys: in a group of copies the
+    text that the others come from.
+    """
+    many = met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "skip")
+    sized = many.join(many.groupBy("key").agg(F.count("*").alias("size")), "key")
+    rank = F.row_number().over(Window.partitionBy("node", F.shiftrightunsigned("key", 56)).orderBy(F.desc("size"), F.desc("key")))
+    kept = cut(sized.withColumn("rank", rank).where("rank > skip").select("key", "node", "size"), "kept")
+    known = kept.groupBy("node").agg(F.sum("size").alias("fame"))
+    led = kept.join(known, "node").groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("left")).where("left > 1")
+    return cut(kept.select("key", "node").join(led.select("key", "leader"), "key"), "crowded")
 
 
 def _named(df: DataFrame, comps: DataFrame, node: str, comp: str) -> DataFrame:
@@ -357,47 +403,85 @@ def _named(df: DataFrame, comps: DataFrame, node: str, comp: str) -> DataFrame:
     return df.join(comps.select(F.col("node").alias(node), F.col("comp").alias(comp)), node, "left").withColumn(comp, F.coalesce(comp, node))
 
 
-def _left_over(met: DataFrame, pairs: DataFrame, best: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidates that the first round neither verified nor brought into one component."""
-    apart = _named(_named(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), comps, "a", "ca"), comps, "b", "cb").where("ca != cb").select("a", "b")
-    # under a key that still has several components, the nodes outside its largest meet all nodes of other components
-    many = _named(met.where("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node")), comps, "node", "comp")
-    sizes = many.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("size", "comp")).alias("main")).where("comps > 1")
-    many = cut(many.join(mixed.select("key", "main"), "key"), "mixed")
-    others = many.where("comp != main").select("key", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    meet2 = others.join(many, "key").where((F.col("comp") != F.col("cx")) & ((F.col("comp") == F.col("main")) | (F.col("x") < F.col("node"))))
-    meet2 = meet2.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    return cut(apart.unionByName(_screen(meet2, nodes).select("a", "b")).distinct().join(best, ["a", "b"], "left_anti"), "rest")
+def _by_difference(told: DataFrame) -> DataFrame:
+    """Pairs of nodes near one leader that can be alike though not both are alike to it.
+
+    Two sets differ in d1 + d2 less twice what their differences from the leader share, so they must share
+    (d1 + d2 - k) / 2 hashes of them at least. Hashes are ranked by how few of the leader's nodes have them, and a pair
+    must meet at a hash that stands early enough in both (prefix filter with the pair's own bound).
+    """
+    near = told.where("diff is not null").withColumn("d", (F.octet_length("diff") / 8).cast("long"))
+    # alike sets differ from the leader by figures that are close; what has no such partner is left out
+    odd = near.groupBy("a").agg(F.count_if(~F.col("alike")).alias("odd"), F.min(F.when(~F.col("alike"), F.col("d"))).alias("least"), F.max(F.when(F.col("alike"), F.col("d"))).alias("most")).where("odd > 0")
+    close = lambda far, by: F.coalesce(NUM * (F.col(far) - F.col(by)) <= (DEN - NUM) * F.col("n"), F.lit(False))
+    near = cut(near.join(odd, "a").where(F.when(F.col("alike"), close("least", "d")).otherwise((F.col("odd") > 1) | close("d", "most"))).select("a", "b", "alike", "n", "d", "diff"), "near")
+    each = cut(near.select("a", "b", "diff").mapInArrow(_spread, "a long, b long, e int"), "differences")
+    each = each.join(each.groupBy("a", "e").agg(F.count("*").alias("df")), ["a", "e"])
+    each = each.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "e"))).where("df > 1").select("a", "b", "e", "rank")
+    each = each.join(near.select("a", "b", "alike", "n", "d"), ["a", "b"])
+    # no partner is larger than 1/t times the set, and none differs by less than one: what no pair can need is left out
+    least = (DEN + NUM) * (F.col("d") + 1) * NUM - (DEN - NUM) * (NUM + DEN) * F.col("n")
+    each = each.where(2 * (DEN + NUM) * NUM * (F.col("d") - F.col("rank") + 1) >= least)
+    x = each.where("not alike").select("a", "e", F.col("b").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("rank").alias("rx"))
+    y = each.select("a", "e", F.col("b").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("rank").alias("ry"), F.col("alike").alias("ya"))
+    # twice the bound, times DEN + NUM, in whole numbers
+    need = (DEN + NUM) * (F.col("dx") + F.col("dy")) - (DEN - NUM) * (F.col("nx") + F.col("ny"))
+    early = lambda d, r: 2 * (DEN + NUM) * (F.col(d) - F.col(r) + 1) >= need
+    met = x.join(y, ["a", "e"]).where((F.col("ya") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")) & early("dx", "rx") & early("dy", "ry"))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _far_apart(crowded: DataFrame, told: DataFrame) -> DataFrame:
+    """Pairs under a key of which one is far from the key's leader: they differ from it by more than FAR_NUM / FAR_DEN of
+    their size.
+
+    Such a node can't be alike to one that is alike to the leader, so it meets the others only.
+    """
+    where = told.select(F.col("a").alias("leader"), F.col("b").alias("node"), "alike", F.col("diff").isNotNull().alias("near"))
+    known = crowded.where("node != leader").join(where, ["leader", "node"], "left")
+    far = known.where("not coalesce(near, false)").select("key", F.col("node").alias("x"))
+    rest = known.where("not coalesce(alike, false)").select("key", "node", F.coalesce("near", F.lit(False)).alias("near"))
+    met = far.join(rest, "key").where((F.col("near") & (F.col("x") != F.col("node"))) | (~F.col("near") & (F.col("x") < F.col("node"))))
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) of every row; set_id is equal for equal sets."""
     spark = docs.sparkSession
+    small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = cut(rows.mapInArrow(_describe, "doc_id long, n long, node long, chk long, sketch binary"), "sets")
+    described = cut(rows.mapInArrow(_describe, "doc_id long, n long, node long, chk long, sketch binary"), "sets")
     # a task writes the sketch of a node once, so max() picks it out
-    nodes = cut(told.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"), (F.min("chk") != F.max("chk")).alias("clash")), "nodes")
+    nodes = cut(described.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"), (F.min("chk") != F.max("chk")).alias("clash")), "nodes")
     stats = nodes.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.bool_or("clash").alias("clash")).first()
-    alone = told.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("set_id"))
+    alone = described.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("set_id"))
     if not stats.most:
         return alone
     if stats.clash:
         raise RuntimeError("two different sets share a 64-bit node hash")
     met = _candidates(rows, int(stats.most), int(stats.total))
     release(spark)
-    pairs = cut(_screen(met.where("kind = 0").select("a", "b").distinct(), nodes), "close")
     rep = nodes.where("least is not null").select("node", F.col("least").alias("doc_id"))
-    # first round: of each node the nearest candidate, seen from its larger end
+    crowded = _crowded(met)
+    star = crowded.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    star = cut(_screen(star, nodes, near=True).select("a", "b"), "star")
+    pairs = cut(_screen(_paired(met), nodes), "close")
+    # first round: every node with its leaders and, under rarer keys, with the nearest candidate seen from its larger end
     best = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "best")
-    first = cut(_links(best, rep, rows), "links")
+    asked = star.withColumn("want", F.lit(True)).unionByName(best.withColumn("want", F.lit(False))).groupBy("a", "b").agg(F.max("want").alias("want"))
+    told = cut(_compare(cut(asked, "asked"), rep, rows), "told-pairs")
     release(spark)
-    second = cut(_links(_left_over(met, pairs, best, nodes, components(first)), rep, rows), "links")
+    first = told.where("alike").select("a", "b")
+    comps = components(first, small=0)
+    more = pairs.select("a", "b").unionByName(_screen(_by_difference(told).unionByName(_far_apart(crowded, told)).distinct(), nodes).select("a", "b"))
+    done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = _named(_named(more.distinct().join(done, ["a", "b"], "left_anti"), comps, "a", "ca"), comps, "b", "cb").where("ca != cb")
+    second = cut(_compare(cut(rest.select("a", "b", F.lit(False).alias("want")), "rest"), rep, rows).where("alike").select("a", "b"), "links")
     release(spark)
-    comps = components(first.unionByName(second))
+    comps = components(first.unionByName(second), small=0)
     whose = _named(nodes.select("node", "least"), comps, "node", "comp")
     final = whose.join(whose.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
-    out = told.where("node is not null").join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
+    out = described.where("node is not null").join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))
     return out.unionByName(alone)
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
@@ -136,6 +136,7 @@ def learn(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def find_private(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: counts, base spans, all spans."""
+    small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(_scan, _ROW_DDL)
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "private-rows")
     each = rows.where(F.size("occ") > 0).select("row", F.explode("occ").alias("o")).select("row", "o.*")

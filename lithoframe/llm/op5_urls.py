@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Rules of the contract, as text: verdict and host/path.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -123,6 +123,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, list
             verdict = [by_rule.values[k] if k >= 0 else "block" if b >= 0 else "allow" for k, b in zip(ruled, banned, strict=True)]
             yield pa.record_batch({"page_id": batch.column("page_id"), "host": hosts, "path": paths, "rule": pa.array(rule, pa.string()), "verdict": verdict})
 
+    small_batches(pages)
     host, path = host_path(pages[url_col])
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     return rows.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string")

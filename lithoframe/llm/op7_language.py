@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import table, text_views
+from .common import small_batches, table, text_views
 
 DIM = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 400, 3, 10
 MAX_LANGUAGES = 1000
 REJECT_BELOW, FULL_GRAMS = 0.2, 400
-ROWS_AT_ONCE = 512
+ROWS_AT_ONCE = 256
 
 _FOLD = np.zeros(256, np.uint32)
 _FOLD[65:91] = np.arange(97, 123)
@@ -102,6 +102,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, k: int = CENTROIDS) -> Model:
     """Fit on all rows with a text and a language; the driver gets DIM counts and k centroids a language."""
     spark = labelled.sparkSession
+    small_batches(labelled)
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     found = {r.dim: r.n for r in rows.select("text").mapInArrow(_frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()}
     total = found.pop(-1, 0)
@@ -139,12 +140,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     new = ["lang_pred", "score", "rejected"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # k * languages * DIM floats, with MAX_LANGUAGES checked
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            text = batch.column(batch.num_columns - 1)
+            text = batch.column(at)
             pred, score, least = np.zeros(len(text), np.int64), np.zeros(len(text)), np.zeros(len(text))
             if m.languages:
                 for first, counts in count_blocks(text):
@@ -157,7 +159,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
             name = [m.languages[p] if ok else "und" for p, ok in zip(pred, lettered, strict=True)]
             yield pa.record_batch([*batch.columns[: len(keep)], pa.array(name, pa.string()), pa.array(score), pa.array((score < least) | ~lettered)], names=[*keep, *new])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("_lf_text")).mapInArrow(judge, schema)
+    inside = text_col in keep and docs.schema[text_col].dataType == T.StringType()  # then the text travels once
+    at = keep.index(text_col) if inside else len(keep)
+    return docs.select(*keep, *([] if inside else [F.col(text_col).cast("string").alias("_lf_text")])).mapInArrow(judge, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

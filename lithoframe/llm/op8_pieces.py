@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEEP_PARTS, KEEP_CHARS, GROUP = 1_000_000, 20_000_000, 256
+KEEP_PARTS, KEEP_CHARS, GROUP = 500_000, 10_000_000, 256
 MAX_MODEL_BYTES = 64 << 20
 ROWS_AT_ONCE = 1024
 
@@ -270,6 +270,7 @@ def encoder_of(model: bytes, verify: bool) -> Encoder:
 
 def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """(doc_id, ids, n_tokens, parity, round_trip): whether both libraries agree, and whether the ids decode to the text (markers as blanks)."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, mix, table, text_views, words_of
+from .common import PLAIN_WORD, mix, small_batches, table, text_views, words_of
 
 DIM, PLACES = 1 << 18, 64  # hashed words; hashed places of source and language
-TRAIN_ROWS, POOL_ROWS = 6000, 4000
+TRAIN_ROWS, POOL_ROWS = 5000, 3000
 ROUNDS, SHARE, STEPS, RIDGE, WORD_RIDGE, PRIOR, CLEAR = 3, 0.05, 120, 1e-4, 3e-3, 4, 1.8
 LAYOUT, STEM = 13, 6  # figures of layout; bytes of a longer word that count as a word too
 
@@ -236,6 +236,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, Model]:
     """Models of quality and toxic from docs(id, text, lang, source) and labels(id, quality, toxic)."""
     spark = docs.sparkSession
+    small_batches(docs)
     usable = labels.where("id is not null and quality is not null and toxic is not null").select("id", F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("id"), "id", "quality", "toxic").limit(TRAIN_ROWS).collect()
     pool = docs.select("id").where("id is not null").orderBy(F.xxhash64(F.col("id"), F.lit(1)), "id").limit(POOL_ROWS).collect()
