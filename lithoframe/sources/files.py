@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.crs import inverse
+
 POINT = "struct<x: double, y: double>"
 NODATA = -9999.0
 
@@ -67,6 +69,16 @@ def to_geojson(df: DataFrame, geometry: str, kind: str, properties: list[str]) -
     return df.select(F.to_json(feature, {"ignoreNullFields": "false"}).alias("value"))
 
 
+def to_degrees(geometry: Column, kind: str, zone: int, north: bool = True) -> Column:
+    """A geometry in metres of a UTM zone as longitude and latitude, for exchange formats."""
+
+    def move(p: Column) -> Column:
+        lon, lat = inverse(p["x"], p["y"], zone, north)
+        return F.struct(lon.alias("x"), lat.alias("y"))
+
+    return move(geometry) if kind == "Point" else F.transform(geometry, move)
+
+
 def write_geojson(df: DataFrame, path: str, geometry: str, kind: str, properties: list[str]) -> None:
     """Newline-delimited features, in parallel."""
     to_geojson(df, geometry, kind, properties).write.text(path)

@@ -69,3 +69,9 @@ def test_csv(spark, tmp_path):
     df = spark.createDataFrame([("100", 1, 2.5), (None, 2, None)], "chapel_id string, shp_idx long, dist_m double")
     df.write.option("header", True).csv(str(tmp_path / "c"))
     assert sorted(map(str, spark.read.option("header", True).schema(df.schema).csv(str(tmp_path / "c")).collect())) == sorted(map(str, df.collect()))
+
+
+def test_degrees(spark):
+    df = spark.createDataFrame([([(500_000.0, 0.0), (254_000.0, 2_821_000.0)],)], f"g array<{S.POINT}>").select(S.to_degrees(F.col("g"), "LineString", 36).alias("g"))
+    a, b = df.first().g
+    assert abs(a.x - 33) < 1e-9 and abs(a.y) < 1e-9 and 30 < b.x < 31 and 25 < b.y < 26
