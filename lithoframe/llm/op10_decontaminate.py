@@ -1,11 +1,13 @@
 """Benchmark decontamination: rare n-gram seeds find passages near test items, Smith-Waterman alignment scores them.
 
 Words are runs of letters and digits in lower case. Every item's SEED_WORDS-grams (a shorter item: all of its words) are
-counted over all documents. An item's seeds are its grams that occur in RARE_DOCS documents or fewer, and in any case the
-rarer half of its grams, so a passage that is copied everywhere keeps seeds. Where a document holds a seed, a window of
-the item's length on either side is cut around it; windows of one item that overlap are joined. Each window is aligned
-with the item (match, mismatch and gap scores below); the score is the alignment's over that of the item with itself. A
-document is contaminated by an item at MIN_SCORE or more, if MIN_WORDS words match or the whole item does.
+counted over all documents. Where a document holds a gram of an item, a window of the item's length on either side is cut
+around it; windows of one item that overlap are joined. An item's seeds are its grams that occur in RARE_DOCS documents or
+fewer, and in any case the rarer half of those that occur at all. Windows with a seed are aligned with the item (match,
+mismatch and gap scores below). So are those that hold frequent grams only, unless too few of the item's words stand in
+them for any alignment to reach MIN_SCORE and MIN_WORDS; so counts decide on the work, never on the result. The score is
+the alignment's over that of the item with itself. A document is contaminated by an item at MIN_SCORE or more, if
+MIN_WORDS words match or the whole item does.
 
 Items are taken in blocks of a bounded number of items and words, and a block is what is sent to the executors; each block
 is held against all documents. There is no shuffle but that of the counts. Alignment runs on 64-bit word hashes.
@@ -31,19 +33,21 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
 MIN_SCORE, MIN_WORDS = 0.5, 8
 BLOCK_ITEMS, BLOCK_WORDS = 5000, 1_000_000
 CELLS = 2_000_000  # cells of alignment matrices held at once
+PAIRS = 200_000  # pairs of a gram in a slice and its place in an item held at once; one row's go together
 
 _BITS = 20
 
 
 @dataclass
 class Block:
-    """Items as word hashes, and their grams: sorted hashes with the item and the place of each."""
+    """Items as word hashes, and their grams: sorted hashes with the item and the place of each; all words, sorted."""
 
     ids: list[int]
     words: list[np.ndarray]
     grams: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    vocabulary: np.ndarray
 
     def distinct(self) -> np.ndarray:
         return np.unique(self.grams)
@@ -64,7 +68,7 @@ def make_block(items: list[tuple[int, np.ndarray]]) -> Block:
     item = np.repeat(np.arange(len(items)), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g)) for g in grams])
     order = np.argsort(flat, kind="stable")
-    return Block([i for i, _ in items], [w for _, w in items], flat[order], item[order], place[order])
+    return Block([i for i, _ in items], [w for _, w in items], flat[order], item[order], place[order], np.unique(np.concatenate([w for _, w in items])))
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
@@ -145,31 +149,76 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best // scale / 2 / (MATCH * size), best % scale
 
 
-def passages(row: np.ndarray, place: np.ndarray, key: np.ndarray, first: np.ndarray, block: Block, sieve: Sieve) -> np.ndarray:
-    """Windows (row, item, start word, end word) around seeds; overlapping ones of the same row and item are joined."""
+def passages(row: np.ndarray, place: np.ndarray, key: np.ndarray, first: np.ndarray, block: Block, sieve: Sieve, seed: np.ndarray) -> np.ndarray:
+    """Windows (row, item, start word, end word, whether a seed is in it) around grams; overlapping ones of the same row and item are joined."""
     lo, hi = np.searchsorted(block.grams, sieve.keys[key]), np.searchsorted(block.grams, sieve.keys[key], side="right")
     times = hi - lo
     at = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-    row, place, item = np.repeat(row, times), np.repeat(place, times), block.item[at]
+    row, place, item, seeded = np.repeat(row, times), np.repeat(place, times), block.item[at], np.repeat(seed[key], times)
     size = np.array([len(w) for w in block.words])[item]
     start = np.maximum(place - block.place[at] - size // 2 - 2, first[row])
     end = np.minimum(place - block.place[at] + size + size // 2 + 2, first[row + 1])
     order = np.lexsort((start, item, row))
     row, item, start, end = row[order], item[order], start[order], end[order]
     new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (start[1:] > np.maximum.accumulate(end)[:-1])
+    same = (row[1:] == row[:-1]) & (item[1:] == item[:-1])
+    groups = np.concatenate([[0], np.cumsum(~same)])
+    wide = int(end.max()) + 1 if len(end) else 1
+    reach = np.maximum.accumulate(end + groups * wide) - groups * wide  # the farthest end so far within the row and item
+    new[1:] = ~same | (start[1:] > reach[:-1])
     heads = np.flatnonzero(new)
-    return np.stack([row[heads], item[heads], start[heads], np.maximum.reduceat(end, heads)], axis=1) if len(heads) else np.zeros((0, 4), np.int64)
+    return np.stack([row[heads], item[heads], start[heads], np.maximum.reduceat(end, heads), np.logical_or.reduceat(seeded[order], heads)], axis=1) if len(heads) else np.zeros((0, 5), np.int64)
+
+
+def possible(found: np.ndarray, hashes: np.ndarray, block: Block) -> np.ndarray:
+    """Whether a window can score at all: as many of the item's words as MIN_SCORE and MIN_WORDS ask for stand in it."""
+    out = np.zeros(len(found), bool)
+    at = np.minimum(np.searchsorted(block.vocabulary, hashes), len(block.vocabulary) - 1)
+    held = np.flatnonzero(block.vocabulary[at] == hashes)
+    wide = len(hashes) + 1
+    stands = np.concatenate([np.sort(at[held] * wide + held), [np.iinfo(np.int64).max]])
+    sizes = np.array([len(block.words[i]) for i in found[:, 1]])
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PAIRS)) + 1
+    for part in np.split(np.arange(len(found)), cuts):
+        n = sizes[part]
+        words = np.searchsorted(block.vocabulary, np.concatenate([block.words[i] for i in found[part, 1]]))
+        start, end = np.repeat(found[part, 2], n), np.repeat(found[part, 3], n)
+        inside = stands[np.searchsorted(stands, words * wide + start)] < words * wide + end
+        same = np.add.reduceat(inside.astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        out[part] = (same >= MIN_SCORE * n) & (same >= np.minimum(MIN_WORDS, n))
+    return out
 
 
-def judge(column: pa.Array, block: Block, sieve: Sieve) -> Iterator[tuple[int, int, float, int, int, int]]:
-    """(row, item, score, matched words, window's first word and end in the row) of every contaminated pair."""
+def candidates(row: np.ndarray, place: np.ndarray, key: np.ndarray, hashes: np.ndarray, first: np.ndarray, block: Block, sieve: Sieve, seed: np.ndarray) -> np.ndarray:
+    """Windows of a slice that are to be aligned, rows with PAIRS pairs or so at a time."""
+    order = np.argsort(row, kind="stable")
+    row, place, key = row[order], place[order], key[order]
+    times = np.searchsorted(block.grams, sieve.keys[key], side="right") - np.searchsorted(block.grams, sieve.keys[key])
+    heads = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    before = (np.cumsum(times) - times)[heads]
+    cuts = heads[1:][np.diff(before // PAIRS) > 0]
+    parts = []
+    for part in np.split(np.arange(len(row)), cuts):
+        found = passages(row[part], place[part], key[part], first, block, sieve, seed)
+        frequent = np.flatnonzero(found[:, 4] == 0)
+        keep = np.ones(len(found), bool)
+        if len(frequent):
+            keep[frequent] = possible(found[frequent], hashes, block)
+        parts.append(found[keep])
+    return np.concatenate(parts)
+
+
+def judge(column: pa.Array, block: Block, sieve: Sieve, seed: np.ndarray) -> Iterator[tuple[int, int, float, int, int, int]]:
+    """(row, item, score, matched words, window's first word and end in the row) of every contaminated pair.
+
+    sieve holds all grams of the block; seed says of each whether it is a seed.
+    """
     lengths = block.lengths()
     for offset, _, data, offsets in text_views(column):
         hashes, first, row, place, key = seed_hits(data, offsets, sieve, lengths)
         if not len(row):
             continue
-        found = passages(row, place, key, first, block, sieve)
+        found = candidates(row, place, key, hashes, first, block, sieve, seed)
         found = found[np.argsort(found[:, 3] - found[:, 2], kind="stable")]
         k = 0
         best: dict[tuple[int, int], tuple] = {}
@@ -178,8 +227,8 @@ def judge(column: pa.Array, block: Block, sieve: Sieve) -> Iterator[tuple[int, i
             width = found[k, 3] - found[k, 2]
             n = max(1, min(len(found) - k, int(CELLS // max(width * 2, 1)), int(np.searchsorted(found[k:, 3] - found[k:, 2], 2 * width + 16, side="right"))))
             part = found[k : k + n]
-            score, matched = align([block.words[i] for i in part[:, 1]], [hashes[s:e] for s, e in part[:, 2:]])
-            for (r, i, s, e), x, m in zip(part.tolist(), score.tolist(), matched.tolist(), strict=True):
+            score, matched = align([block.words[i] for i in part[:, 1]], [hashes[s:e] for s, e in part[:, 2:4]])
+            for (r, i, s, e), x, m in zip(part[:, :4].tolist(), score.tolist(), matched.tolist(), strict=True):
                 if x >= MIN_SCORE and m >= min(MIN_WORDS, len(block.words[i])) and (x, m) > best.get((r, i), (0, 0))[:2]:
                     best[r, i] = (x, m, s - int(first[r]), e - int(first[r]))
             k += n
@@ -210,12 +259,15 @@ def _counted(docs: DataFrame, block: Block) -> np.ndarray:
 
 
 def rare(block: Block, counts: np.ndarray) -> np.ndarray:
-    """The block's seeds: rare grams, and of each item the rarer half."""
+    """The block's seeds: rare grams, and of each item the rarer half of those that any document holds."""
     n = counts[np.searchsorted(block.distinct(), block.grams)]
-    order = np.lexsort((n, block.item))
-    sizes = np.bincount(block.item, minlength=len(block.ids))
+    live = np.flatnonzero(n)
+    order = live[np.lexsort((n[live], block.item[live]))]
+    sizes = np.bincount(block.item[live], minlength=len(block.ids))
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    middle = n[order][starts + (sizes - 1) // 2]
+    middle = np.zeros(len(block.ids), np.int64)
+    some = np.flatnonzero(sizes)
+    middle[some] = n[order][starts[some] + (sizes[some] - 1) // 2]
     return block.grams[(n <= RARE_DOCS) | (n <= middle[block.item])]
 
 
@@ -230,9 +282,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
-            sieve = Sieve(seeds)
+            sieve = Sieve(block.grams)
+            seed = np.isin(sieve.keys, seeds)
             for batch in batches:
-                got = list(judge(batch.column(1), block, sieve))
+                got = list(judge(batch.column(1), block, sieve, seed))
                 take = lambda k, got=got: [x[k] for x in got]
                 yield pa.record_batch({
                     "doc_id": batch.column(0).take(pa.array(take(0), pa.int64())), "item_id": pa.array([block.ids[i] for i in take(1)], pa.int64()), "score": pa.array(take(2), pa.float64()),
@@ -254,10 +307,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
-            sieve = Sieve(seeds)
+            sieve = Sieve(block.grams)
+            seed = np.isin(sieve.keys, seeds)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[x[0] for x in judge(batch.column(at), block, sieve)]] = False
+                keep[[x[0] for x in judge(batch.column(at), block, sieve, seed)]] = False
                 yield batch.filter(pa.array(keep))
 
         out = out.mapInArrow(clean, docs.schema)

@@ -415,6 +415,35 @@ def test_passage_copied_everywhere(spark):
     assert op10_decontaminate.contaminated(frame, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 60
 
 
+@pytest.mark.parametrize("copies", [20, 21, 60])
+@pytest.mark.parametrize("kind", ["edited", "quote"])
+def test_edited_passage_in_many_documents(spark, copies, kind):
+    """A passage without most of the item's grams is found in however many documents it stands."""
+    rng = random.Random(14)
+    words = [f"w{rng.randrange(10_000)}" for _ in range(40)]
+    passage = [f"x{k}" if k % 6 == 5 else w for k, w in enumerate(words)] if kind == "edited" else words[:21]
+    frame = spark.createDataFrame([(i, f"{prose(rng, 20)} {' '.join(passage)} {prose(rng, 20)}") for i in range(copies)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    score = plain_align(words, passage) / (2 * len(words))
+    got = op10_decontaminate.contaminated(frame, bench).collect()
+    assert len(got) == copies and all(abs(r.score - score) < 1e-9 for r in got)
+    assert op10_decontaminate.decontaminate(frame, bench).count() == 0
+
+
+def test_passage_of_frequent_grams_only():
+    """A window with frequent grams only counts as one with seeds, and goes unaligned only if it can't score."""
+    rng = random.Random(15)
+    bench = [[f"w{rng.randrange(25)}" for _ in range(rng.randrange(8, 40))] for _ in range(15)]
+    block = op10_decontaminate.make_block([(i, op10_decontaminate.item_words(" ".join(w))) for i, w in enumerate(bench)])
+    rows = []
+    for k in range(200):
+        w = [x if rng.random() > k % 5 / 8 else f"y{rng.randrange(99)}" for x in bench[k % 15]]
+        rows.append(" ".join([f"w{rng.randrange(25)}" for _ in range(30)] + w[: rng.randrange(4, len(w) + 1)] + [f"w{rng.randrange(25)}" for _ in range(30)]))
+    sieve, column = op10_decontaminate.Sieve(block.grams), pa.array(rows)
+    want = list(op10_decontaminate.judge(column, block, sieve, np.ones(len(sieve.keys), bool)))
+    assert len(want) > 50 and list(op10_decontaminate.judge(column, block, sieve, np.zeros(len(sieve.keys), bool))) == want
+
+
 # ---- queries with SQL, and the pipeline
 
 
