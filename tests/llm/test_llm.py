@@ -367,6 +367,37 @@ def test_quality(spark, docs, empty):
     assert op9_quality.quality_scores(empty, few).count() == 0
 
 
+def test_quality_counts_all_documents(spark):
+    """Statistics come from all documents, and views pick from all unlabelled rows, whatever the labels cover."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 30) + (f" mark{i % 7}" if i >= 40 else ""), "en", f"s{i % 2}") for i in range(300)]
+    rows += [(300 + i, rows[299][1], "en", "s1") for i in range(50)] + [(None, "mark1 alone", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    feats = op9_quality.features(docs.withColumnRenamed("doc_id", "id"))
+    x = op9_quality.extract(pa.array([r[1] for r in rows]), [r[2] for r in rows], [r[3] for r in rows])
+    model = op9_quality.train(feats, labels.withColumnRenamed("doc_id", "id"))[0]
+    df = np.bincount(x.words, minlength=op9_quality.DIM)
+    want = np.where(df < 3, 0, np.log((1 + len(rows)) / (1 + df)))
+    assert np.allclose(model.text.idf, want, atol=1e-5)
+    assert np.allclose(model.meta.mean, x.meta.mean(axis=0), atol=1e-4) and np.allclose(model.meta.std, x.meta.std(axis=0) + 1e-3, atol=1e-2)
+
+    stats = op9_quality.corpus_stats(feats)
+    assert (stats.n, stats.named) == (351, 350)
+    learner = op9_quality.Learner(x.rows(np.arange(40)), np.arange(40) % 2.0, stats)
+    learner.fit()
+    got = op9_quality.surest(feats, [learner], np.arange(40), 310).collect()
+    for v, view in enumerate(learner.views):
+        odds = view.score(x)
+        for label, want in enumerate(learner.wants(310)):
+            best = {}
+            for k in range(40, 350):
+                sure = odds[k] if label else -odds[k]
+                if sure >= np.log(9):
+                    best[rows[k][1]] = max(best.get(rows[k][1], 0), sure)
+            assert want and np.allclose(sorted(r.sure for r in got if r.g == v * 2 + label), sorted(best.values())[-want:])
+
+
 # ---- 10
 
 
