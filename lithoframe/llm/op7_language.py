@@ -109,7 +109,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     df = np.array([found.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    first = hashed.select("lang", "h").withColumn("rn", F.row_number().over(W.Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_language)
+    first = hashed.select("lang", "h").distinct().withColumn("rn", F.row_number().over(W.Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_language)
     limits = first.groupBy("lang").agg(F.max("h").alias("most")).limit(MAX_LANGUAGES + 1).collect()
     if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")

@@ -314,6 +314,15 @@ def test_language(spark, empty):
     assert op7_language.identify(empty, model).count() == 0
 
 
+def test_centroids_of_distinct_texts(spark):
+    """Copies of one text don't take the places of others in the bounded sample."""
+    rows = [(t, "en") for t in ("plain words here", "other letters there", "zebra quartz jumps")]
+    few = op7_language.train(spark.createDataFrame(rows, "text string, lang string"), per_language=3)
+    lowest = spark.createDataFrame(rows, "text string, lang string").orderBy(F.xxhash64("text")).first()
+    many = op7_language.train(spark.createDataFrame(rows + [tuple(lowest)] * 50, "text string, lang string"), per_language=3)
+    assert len(few.languages) == len(many.languages) == 3
+
+
 # ---- 8
 
 
