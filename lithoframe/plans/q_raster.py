@@ -22,6 +22,12 @@ def window(fx):
     return fx.dem.where("row_id < 10")
 
 
+def extent(cells):
+    """Rows and columns of a grid that starts at 0."""
+    last = cells.agg(F.max("row_id").alias("r"), F.max("col_id").alias("q")).first()
+    return (0, 0) if last.r is None else (last.r + 1, last.q + 1)
+
+
 def _grad(v: str, along: str, over: str, src: str) -> str:
     w = f"OVER (PARTITION BY {over} ORDER BY {along})"
     return f"CASE WHEN lag({along}) {w} IS NULL THEN lead({v}) {w} - {v} WHEN lead({along}) {w} IS NULL THEN {v} - lag({v}) {w} ELSE (lead({v}) {w} - lag({v}) {w})/2 END"
@@ -240,12 +246,12 @@ def free_space(fx):
 
 @query("gabor")
 def gabor(fx):
-    return R.gabor(window(fx).where("col_id < 30"), "elev", {0.40: 1.0})
+    return R.gabor(fx.dem, "elev", {0.40: 1.0})
 
 
 @query("coherence")
 def coherence(fx):
-    return R.coherence(window(fx), "elev", 2.0, 10, 100)
+    return R.coherence(fx.dem, "elev", 2.0, *extent(fx.dem))
 
 
 @query("space_syntax")

@@ -229,3 +229,39 @@ def test_every_edge_has_both_ends(spark):
         near[r.a] += 1
         near[r.b] += 1
     assert {r.node: r.degree for r in graph.degrees(e).collect()} == dict(near)
+
+
+def test_gabor_and_coherence_take_the_whole_grid(spark):
+    """Both queries against brute force on a grid of more rows than 10 and of other columns than 100."""
+    from types import SimpleNamespace
+
+    from lithoframe.plans import q_raster
+
+    z = np.random.default_rng(3).random((23, 37))
+    rows = [(i, j, None if (i * 37 + j) % 97 == 0 else float(z[i, j])) for i in range(23) for j in range(37)]
+    z = np.array([0.0 if v is None else v for _, _, v in rows]).reshape(23, 37)
+    fx = SimpleNamespace(spark=spark, dem=spark.createDataFrame(rows, "row_id int, col_id int, elev double"))
+
+    want = np.zeros_like(z)
+    for pair in raster.gabor_kernels(0.40):
+        parts = []
+        for kernel in pair:
+            out, wide = np.zeros_like(z), np.pad(z, 30)
+            for (i, j), w in kernel.items():
+                out += w * wide[30 + i : 53 + i, 30 + j : 67 + j]
+            parts.append(out)
+        want = np.maximum(want, np.hypot(*parts))
+    got = q_raster.gabor(fx).collect()
+    assert len(got) == z.size and all(abs(r[2] - want[r[0], r[1]]) < 1e-5 for r in got)
+
+    def smooth(x):
+        w = np.array(raster.gaussian_weights(2.0))
+        for axis in (0, 1):
+            x = np.apply_along_axis(lambda v: np.convolve(np.pad(v, len(w) // 2, "symmetric"), w, "valid"), axis, x)
+        return x
+
+    dy, dx = np.gradient(z)
+    xx, xy, yy = smooth(dx * dx), smooth(dx * dy), smooth(dy * dy)
+    want = ((xx - yy) ** 2 + 4 * xy * xy) / (xx + yy + 1e-8) ** 2
+    got = q_raster.coherence(fx).collect()
+    assert len(got) == z.size and all(abs(r[2] - want[r[0], r[1]]) < 1e-5 for r in got)
