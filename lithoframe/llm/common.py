@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ..session import cut, release, shared_dir, table
+from ..session import cut, drop, shared_dir, table
 
-__all__ = ["PLAIN_WORD", "cut", "mix", "release", "shared_dir", "shingles_of", "small_batches", "table", "text_views", "words_of"]
+__all__ = ["PLAIN_WORD", "cut", "drop", "frugal", "mix", "shared_dir", "shingles_of", "small_batches", "table", "text_views", "words_of"]
 
 #: Word separators of the contracts: blank and the bytes 9 to 13.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 #: Bytes of text that are hashed at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
-#: Rows of an Arrow batch.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+#: Powers of the hash's base that are kept; a longer word is hashed in parts of so many bytes.
+KEPT_POWERS = 1 << 16
 
 
 def small_batches(df: DataFrame) -> None:
-    """Let Python workers take BATCH_ROWS rows at a time at most, as rows hold whole texts; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    """Let Python workers take BATCH_ROWS rows or about BATCH_BYTES at a time at most, as rows hold whole texts; smaller settings stay."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(key).lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):  # sizes with other units are taken as larger
+            conf.set(key, str(most))
+
+
+def frugal(run: Callable) -> Callable:
+    """A function of Arrow batches that gives its memory back to the system when its task ends, as workers serve later tasks too."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return wrapped
 
 
 def text_views(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -80,18 +102,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(1023, _BASE)]))
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(KEPT_POWERS - 1, _BASE)]))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n - 1, _BASE)]))
-    return _POWERS
+def _long_hash(word: np.ndarray) -> np.uint64:
+    """The sum of bytes times powers of the base, part by part."""
+    total, scale, step = np.zeros(1, np.uint64), np.ones(1, np.uint64), _POWERS[-1:] * _BASE
+    for k in range(0, len(word), KEPT_POWERS):
+        part = _LOWERED[word[k : k + KEPT_POWERS]]
+        total += np.add.reduce(part * _POWERS[: len(part)]) * scale
+        scale = scale * step
+    return total[0]
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of a slice, runs of the bytes that `word` has: their start and end bytes, a 64-bit hash of each in lower case (A-Z), and each row's first word's number (one more at the end)."""
+    """Words of a slice, runs of the bytes that `word` has: their start and end bytes, a 64-bit hash of each in lower case (A-Z), and each row's first word's number (one more at the end).
+
+    Memory beside the words' own figures is bounded by SLICE_BYTES, whatever the length of the slice.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -99,23 +127,35 @@ def words_of(data: np.ndarray, offsets: np.ndarray, word: np.ndarray = _WORD) ->
     inside = word[data]
     edge = np.zeros(n, bool)  # a row's first byte starts a word of its own
     edge[offsets[:-1][offsets[:-1] < n]] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = False, inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = False, inside[1:]
-    last = np.zeros(n, bool)
-    last[-1], last[:-1] = True, edge[1:]
-    ends = np.flatnonzero(inside & (~after | last)) + 1
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:]
+    starts = np.flatnonzero(begins)
+    inside[:-1] &= ~inside[1:] | edge[1:]
+    ends = np.flatnonzero(inside) + 1
     rows = np.searchsorted(starts, offsets)
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64), rows
-    lengths = ends - starts
-    at = np.flatnonzero(inside)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    hashes = mix(np.add.reduceat(_LOWERED[data[at]] * _powers(int(lengths.max()) + 1)[place], first) + lengths.astype(np.uint64))
-    return starts, ends, hashes, rows
+    hashes, lengths = np.zeros(len(starts), np.uint64), ends - starts
+    total = np.cumsum(lengths)
+    k = 0
+    while k < len(starts):
+        upto = int(np.searchsorted(total, (total[k - 1] if k else 0) + SLICE_BYTES, side="right"))
+        if upto <= k:  # one word is longer
+            hashes[k] = _long_hash(data[starts[k] : ends[k]])
+            k += 1
+            continue
+        own = lengths[k:upto]
+        long = np.flatnonzero(own > KEPT_POWERS)
+        if len(long):
+            upto = k + int(long[0])
+            if upto == k:
+                hashes[k] = _long_hash(data[starts[k] : ends[k]])
+                k += 1
+                continue
+            own = own[: upto - k]
+        first = np.cumsum(own) - own
+        place = np.arange(int(own.sum())) - np.repeat(first, own)
+        hashes[k:upto] = np.add.reduceat(_LOWERED[data[place + np.repeat(starts[k:upto], own)]] * _POWERS[place], first)
+        k = upto
+    return starts, ends, mix(hashes + lengths.astype(np.uint64)), rows
 
 
 def shingles_of(hashes: np.ndarray, size: int) -> np.ndarray:

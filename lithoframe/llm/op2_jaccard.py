@@ -15,16 +15,19 @@ No pair is lost.
 Verification. Under a key of few nodes all pairs are candidates; a pair must first pass the Hamming distance of whole
 (folded) sketches. Under a key of many nodes each node is held against one leader, the best connected of them, and a node
 may leave out its most frequent keys, as alike sets share several (prefix filter); pairs under rarer keys must share
-as many. First round: every node is verified on
-the sets against its leaders and its nearest candidate; links join components. Second round: pairs of nodes near a leader
-that are not both alike to it must share much of their differences from it and are found by them; nodes far from a leader
-meet the others that aren't alike to it; and candidates of the first kind whose ends are in different components still
-are verified. Every pair of alike sets that shares a key is in one of these cases, so components are exact, and a large
-group of copies costs in proportion to its members and to what they differ in, not to their pairs.
-
-Layout. Texts are read where they lie; keys travel as packed arrays, one row for each document and bucket of keys; a
-task keeps one of equal sets. Sets travel only for nodes that are in a candidate pair. Leaders with many members are
-salted. Nothing is collected.
+as many. First round: every node is verified on the sets against its leaders and its nearest candidate; links join
+components. Two nodes near one leader differ by what their differences from it don't share, so the task that holds a
+leader's members also links those that aren't alike to it, on the differences; only where a leader has more members than
+a task should hold, or they differ by more, do differences travel: pairs must then share much of them and are found by
+their rarer hashes. Second round: these pairs, nodes far from a leader with the others that aren't alike to it, and
+candidates of the first kind, as far as their ends are in different components still, are verified. Every pair of alike
+sets that shares a key is in one of these cases, so components are exact, and a large group of copies costs in proportion
+to its members and to what they differ in, not to their pairs.
+
+Layout. Texts are read where they lie; keys travel as packed arrays, one row for each document and bucket of keys, six
+bytes a key as the bucket stands for the rest; a task keeps one of equal sets. Sets travel only for nodes that are in a
+candidate pair. Leaders with many members are salted, and so are keys with many nodes far from their leader. Nothing is
+collected but sums and the few nodes of which two different sets have the same hash; these go by the second hash.
 
 Defined cases: documents without words (or null) have an empty set, no links, and are their own component; shorter texts
 than SIZE words are one shingle; rows with the same id are one document in the result of components but each is a row;
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import cut, mix, release, shingles_of, small_batches, table, text_views, words_of
+from .common import cut, drop, frugal, mix, shingles_of, small_batches, table, text_views, words_of
 
 SIZE = 5
 #: The threshold t as a fraction.
@@ -56,8 +59,12 @@ FAR_NUM, FAR_DEN = 1, 1
 SEEDS = 6
 FEW = 3  # nodes under a key of which all pairs are taken
 SALT_MEMBERS = 2000
+#: What a task compares of one leader's members on their differences: bytes of these, and steps (hashes times nodes that aren't alike to it).
+HELD_BYTES, HELD_STEPS = 16 << 20, 1 << 31
+FAR_NODES = 1000  # nodes of a salt under one key
+MOST_CLASHES = 100_000
 BROADCAST_PAIRS = 200_000  # up to so many, which is counted, their ends are sent to all tasks
-KEYS_PER_BUCKET, PACK_KEYS = 2_000_000, 500_000
+KEYS_PER_BUCKET, PACK_KEYS, KEY_BYTES = 1_500_000, 400_000, 6
 ROWS_AT_ONCE = 512  # sets that are Python objects at once
 KEEP_NODES = 300_000  # nodes that a task remembers having sent
 
@@ -149,36 +156,52 @@ def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, own
 
 
-def node_of(members: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit hashes of a set: the node and a check."""
-    with np.errstate(over="ignore"):
-        a, b = np.add.reduce(mix(members ^ U(0x51ED27))), np.add.reduce(mix(members + U(0xA076)))
-        c = mix(np.array([a + U(len(members)), b ^ mix(np.array([a], np.uint64))[0]], np.uint64)).view(np.int64)
-    return int(c[0]), int(c[1])
+class Names:
+    """Names of sets: a 64-bit hash, or a second one where the first is that of several sets. Fewer bits only test that."""
 
+    def __init__(self, bits: int = 64, clashes: frozenset[int] = frozenset()) -> None:
+        self.drop, self.clashes = 64 - bits, clashes
+
+    def both(self, members: np.ndarray) -> tuple[int, int]:
+        with np.errstate(over="ignore"):
+            a, b = np.add.reduce(mix(members ^ U(0x51ED27))), np.add.reduce(mix(members + U(0xA076)))
+            c = mix(np.array([a + U(len(members)), b ^ mix(np.array([a], np.uint64))[0]], np.uint64)).view(np.int64)
+        return int(c[0]) >> self.drop, int(c[1])
+
+    def __call__(self, members: np.ndarray) -> int:
+        a, b = self.both(members)
+        return b if a in self.clashes else a
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        n, node, check, sketch = [], [], [], []
-        for _, own in sets_of(batch.column(1)):
-            a, b = node_of(own) if len(own) else (None, None)
-            n.append(len(own))
-            node.append(a)
-            check.append(b)
-            sketch.append(folded(own) if len(own) and a not in seen else None)
-            if len(seen) < KEEP_NODES and a is not None:
-                seen.add(a)
-        yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "chk": pa.array(check, pa.int64()), "sketch": pa.array(sketch, pa.binary())})
+
+def _describe(names: Names):
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            n, node, check, sketch = [], [], [], []
+            for _, own in sets_of(batch.column(1)):
+                a, b = names.both(own) if len(own) else (None, None)
+                n.append(len(own))
+                node.append(a)
+                check.append(b)
+                sketch.append(folded(own) if len(own) and b not in seen else None)
+                if len(seen) < KEEP_NODES and b is not None:
+                    seen.add(b)
+            yield pa.record_batch({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64()), "chk": pa.array(check, pa.int64()), "sketch": pa.array(sketch, pa.binary())})
+
+    return run
 
 
 def _packed(buckets: int, nodes: list[int], skips: list[int], keys: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each bucket: the nodes, how many keys each has there, how many it may skip, and the keys."""
+    """One row for each bucket: the nodes, how many keys each has there, how many it may skip, and KEY_BYTES of the keys: the
+    band and 40 bits, as the bucket hangs on the others."""
     sizes = np.array([len(k) for k in keys])
-    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), sizes)
-    bucket = (((flat >> U(20)) & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys), dtype=np.int32), sizes)
+    bucket = (((flat >> U(24)) & U(0xFFFFFFFF)) % U(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     flat, owner, bucket = flat[order], owner[order], bucket[order]
+    flat = (flat & U((1 << 40) - 1)) | (flat >> U(56) << U(40))
+    flat = flat.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
     heads = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     runs = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]))
     times = np.diff(np.append(runs, len(flat)))
@@ -192,14 +215,15 @@ def _packed(buckets: int, nodes: list[int], skips: list[int], keys: list[np.ndar
     return pa.record_batch({"bucket": pa.array(bucket[heads]), "nodes": pack(who, cuts), "counts": pack(counts, cuts), "skips": pack(skip, cuts), "keys": pack(flat, ends)})
 
 
-def _emit(buckets: int, limit: int):
+def _emit(buckets: int, limit: int, names: Names):
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         edges, plans = bands(limit), {}
         nodes, skips, keys, held = [], [], [], 0
         for batch in batches:
             for _, own in sets_of(batch.column(0)):
-                if not len(own) or (node := node_of(own)[0]) in seen:
+                if not len(own) or (node := names(own)) in seen:
                     continue
                 if len(seen) < KEEP_NODES:
                     seen.add(node)
@@ -223,6 +247,14 @@ def _emit(buckets: int, limit: int):
 
 def meet(keys: np.ndarray, nodes: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of one bucket's (key, node, skip): rows (a, b, skip, band, shared keys) of pairs under keys of FEW nodes at most, and the rows of keys with more."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    same = keys[1:] == keys[:-1]
+    again = np.zeros(len(keys), bool)  # most keys are one node's only
+    again[1:] = same
+    again[:-1] |= same
+    keys, order = keys[again], order[again]
+    nodes, skips = nodes[order], skips[order].astype(np.int64)
     order = np.lexsort((nodes, keys))
     keys, nodes, skips = keys[order], nodes[order], skips[order]
     new = np.ones(len(keys), bool)
@@ -246,6 +278,15 @@ def meet(keys: np.ndarray, nodes: np.ndarray, skips: np.ndarray) -> tuple[np.nda
     return pairs, np.stack([keys[many].view(np.int64), nodes[many], skips[many]], axis=1)
 
 
+def _unpacked(bucket: int, packed: bytes) -> np.ndarray:
+    """Whole keys again: band, 16 bits of the bucket, and the 40 bits."""
+    wide = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
+    flat = wide.view(np.uint64)[:, 0]
+    return (flat & U((1 << 40) - 1)) | (flat >> U(40) << U(56)) | U((bucket & 0xFFFF) << 40)
+
+
+@frugal
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per partition, bucket by bucket as they come sorted: rows (kind 0: pair a, b of a band with the keys that they share; kind 1: key a with many nodes, its node b, skip)."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -253,21 +294,22 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> Iterator[pa.RecordBatch]:
         if held:
-            pairs, many = meet(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            both = np.concatenate([pairs, np.pad(many, ((0, 0), (0, 2)))])
-            kind = np.repeat(np.array([0, 1], np.int32), [len(pairs), len(many)])
-            for at in range(0, len(both), 1 << 18):
-                part = both[at : at + (1 << 18)]
-                yield pa.record_batch({"kind": pa.array(kind[at : at + (1 << 18)]), "a": pa.array(part[:, 0]), "b": pa.array(part[:, 1]), "skip": pa.array(part[:, 2].astype(np.int32)), "band": pa.array(part[:, 3].astype(np.int32)), "shared": pa.array(part[:, 4].astype(np.int32))})
-        held.clear()
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            found = meet(*whole)
+            for kind, rows in enumerate(found):
+                for at in range(0, len(rows), 1 << 16):
+                    part = rows[at : at + (1 << 16)]
+                    part = np.pad(part, ((0, 0), (0, 5 - part.shape[1])))
+                    yield pa.record_batch({"kind": pa.array(np.full(len(part), kind, np.int32)), "a": pa.array(part[:, 0]), "b": pa.array(part[:, 1]), "skip": pa.array(part[:, 2].astype(np.int32)), "band": pa.array(part[:, 3].astype(np.int32)), "shared": pa.array(part[:, 4].astype(np.int32))})
 
     for batch in batches:
-        for bucket, nodes, counts, skips, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if bucket != now:
+        for bucket, nodes, counts, skips, keys in zip(*batch.columns, strict=True):
+            if bucket.as_py() != now:
                 yield from done()
-                now = bucket
-            times = np.frombuffer(counts, np.uint8)
-            held.append((np.frombuffer(keys, np.uint64), np.repeat(np.frombuffer(nodes, np.int64), times), np.repeat(np.frombuffer(skips, np.uint8), times).astype(np.int64)))
+                now = bucket.as_py()
+            times = np.frombuffer(counts.as_py(), np.uint8)
+            held.append((_unpacked(now, keys.as_py()), np.repeat(np.frombuffer(nodes.as_py(), np.int64), times), np.repeat(np.frombuffer(skips.as_py(), np.uint8), times)))
     yield from done()
 
 
@@ -276,6 +318,7 @@ def _measured(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.array([hamming(p, q) for p, q in zip(x, y, strict=True)], np.int64), np.array(n, np.int64), np.array(m, np.int64)
 
 
+@frugal
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (b.slice(k, 16 * ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, 16 * ROWS_AT_ONCE)):
         d, n, m = _measured(batch)
@@ -283,57 +326,138 @@ def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "d": pa.array(d)}).filter(pa.array(ok))
 
 
+@frugal
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d, _, m = _measured(batch)
         yield pa.record_batch({"a": batch.column("a"), "b": batch.column("b"), "d": pa.array(d)}).filter(pa.array(FAR_DEN * d <= FAR_NUM * m))
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(leader, salt, role, node, want, text) to the same with the set's bytes; a text of another set under the same id goes."""
-    names = ["leader", "salt", "role", "node", "want", "members"]
-    for batch in batches:
-        node = batch.column(3).to_numpy()
-        rows, sets, held = [], [], 0
-        for row, own in sets_of(batch.column(5)):
-            if not len(own) or node_of(own)[0] != node[row]:
-                continue
-            rows.append(row)
-            sets.append(own.tobytes())
-            held += 8 * len(own)
-            if held > 8 << 20:
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:5]), pa.array(sets, pa.binary())], names=names)
-                rows, sets, held = [], [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:5]), pa.array(sets, pa.binary())], names=names)
+def _with_sets(names: Names):
+    """(leader, salt, salts, role, node, want, text) to the same with the set's bytes; a text of another set under the same id goes."""
+    columns = ["leader", "salt", "salts", "role", "node", "want", "members"]
 
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(4).to_numpy()
+            rows, sets, held = [], [], 0
+            for row, own in sets_of(batch.column(6)):
+                if not len(own) or names(own) != node[row]:
+                    continue
+                rows.append(row)
+                sets.append(own.tobytes())
+                held += 8 * len(own)
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:6]), pa.array(sets, pa.binary())], names=columns)
+                    rows, sets, held = [], [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:6]), pa.array(sets, pa.binary())], names=columns)
+
+    return run
 
+
+def links_within(leader: int, members: list[tuple[int, bool, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links (x, y) that join what isn't joined through the leader yet; members are (node, alike to it, set size, sorted difference from it)."""
+    place = {leader: leader}
+
+    def root(x: int) -> int:
+        while place.setdefault(x, x) != x:
+            place[x] = place[place[x]]
+            x = place[x]
+        return x
+
+    for node, ok, _, _ in members:
+        if ok:
+            place[root(node)] = leader
+    node, size, d = (np.array(x, np.int64) for x in zip(*((m[0], m[2], len(m[3])) for m in members), strict=True))
+    flat, owner = np.concatenate([m[3] for m in members]), np.repeat(np.arange(len(members)), d)
+    _, flat, df = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = df[flat] > 1  # what one member alone has is in no overlap
+    flat, owner = flat[shared], owner[shared]
+    heads = np.searchsorted(owner, np.arange(len(members) + 1))
+    mark, found = np.zeros(len(df), bool), []
+    for x, (_, ok, n, diff) in enumerate(members):
+        if ok:
+            continue
+        own = flat[heads[x] : heads[x + 1]]
+        mark[own] = True
+        both = np.bincount(owner[mark[flat]], minlength=len(members))
+        mark[own] = False
+        inter = (n + size - (len(diff) + d - 2 * both)) // 2
+        for y in np.flatnonzero(alike(inter, n, size)).tolist():
+            if y != x and (p := root(int(node[x]))) != (q := root(int(node[y]))):
+                place[p] = q
+                found.append((int(node[x]), int(node[y])))
+    return found
+
+
+@frugal
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Members against the leader that comes before them in the sorted partition; one leader's set is held.
 
-    Each pair tells whether it is alike; where it is wanted, a pair that is near carries the
-    difference's hashes too.
+    Each pair (kind 0) tells whether it is alike and, where that is wanted, near. Of a leader in one salt the differences
+    of near members are held, up to HELD_BYTES, and give the links between them (kind 1). Beyond, and of leaders in
+    several salts, the pairs carry the difference's hashes.
     """
-    leader, held = None, None
-    for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
-        a, b, ok, n, diff = [], [], [], [], []
-        for l, role, node, want, members in zip(*(batch.column(c).to_pylist() for c in ("leader", "role", "node", "want", "members")), strict=True):
-            own = np.frombuffer(members, np.uint64)
-            if role == 0:
-                leader, held = l, own
-            elif l == leader:
+    leader, held, mine, size, spilt = None, None, [], 0, False
+    out: list[tuple] = []
+    waiting = 0  # bytes in out
+
+    def pack() -> pa.RecordBatch:
+        rows = out.copy()
+        nonlocal waiting
+        out.clear()
+        waiting = 0
+        a, b, kind, ok, near, n, diff = zip(*rows, strict=True)
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "kind": pa.array(kind, pa.int32()), "alike": pa.array(ok, pa.bool_()), "near": pa.array(near, pa.bool_()), "n": pa.array(n, pa.int64()), "diff": pa.array([None if x is None else x.tobytes() for x in diff], pa.binary())})
+
+    def row(node: int, ok: bool, n: int, diff: np.ndarray | None, travels: bool) -> None:
+        nonlocal waiting
+        out.append((leader, node, 0, ok, diff is not None, n, diff if travels else None))
+        waiting += diff.nbytes if travels and diff is not None else 0
+
+    def done() -> None:
+        """What is held of a leader."""
+        odd = sum(not m[1] for m in mine)
+        steps = odd * sum(len(m[3]) for m in mine)
+        if odd and steps <= HELD_STEPS:
+            out.extend((x, y, 1, True, False, 0, None) for x, y in links_within(leader, mine))
+        for m in mine:
+            row(*m, travels=steps > HELD_STEPS)
+        mine.clear()
+
+    for batch in batches:
+        for l, salts, role, node, want, members in zip(*(batch.column(c) for c in ("leader", "salts", "role", "node", "want", "members")), strict=True):
+            own = np.frombuffer(members.as_py(), np.uint64)
+            if role.as_py() == 0:
+                done()
+                leader, held, size, spilt = l.as_py(), own, 0, salts.as_py() > 1
+            elif l.as_py() == leader:
                 small, large = (own, held) if len(own) <= len(held) else (held, own)
                 at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                 same = int((large[at] == small).sum())
-                a.append(l)
-                b.append(node)
-                ok.append(bool(alike(same, len(own), len(held))))
-                n.append(len(own))
-                near = want and FAR_DEN * (len(own) + len(held) - 2 * same) <= FAR_NUM * len(own)
-                diff.append(np.setxor1d(own, held, assume_unique=True).view(np.int64).tobytes() if near else None)
-        yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "alike": pa.array(ok, pa.bool_()), "n": pa.array(n, pa.int64()), "diff": pa.array(diff, pa.binary())})
-
-
+                ok = bool(alike(same, len(own), len(held)))
+                near = want.as_py() and FAR_DEN * (len(own) + len(held) - 2 * same) <= FAR_NUM * len(own)
+                diff = np.setxor1d(own, held, assume_unique=True) if near else None
+                if near and not spilt:
+                    mine.append((node.as_py(), ok, len(own), diff))
+                    size += diff.nbytes
+                    if size > HELD_BYTES:
+                        spilt = True
+                        for m in mine:
+                            row(*m, travels=True)
+                        mine.clear()
+                else:
+                    row(node.as_py(), ok, len(own), diff, travels=True)
+            if len(out) >= ROWS_AT_ONCE or waiting > HELD_BYTES // 4:
+                yield pack()
+    done()
+    if out:
+        yield pack()
+
+
+@frugal
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, diff) to a row for each hash of the difference, cut to 31 bits; equal ones that weren't only add candidates."""
     for batch in (b.slice(k, ROWS_AT_ONCE) for b in batches for k in range(0, b.num_rows, ROWS_AT_ONCE)):
@@ -350,26 +474,26 @@ def _screen(pairs: DataFrame, nodes: DataFrame, near: bool = False) -> DataFrame
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near if near else _close, "a long, b long, d long")
 
 
-def _compare(pairs: DataFrame, rep: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, alike, n, diff) of pairs(a, b, want) by their sets; a is the leader. rep(node, doc_id) names a document of each node."""
+def _compare(pairs: DataFrame, rep: DataFrame, docs: DataFrame, names: Names) -> DataFrame:
+    """(a, b, kind, alike, near, n, diff) of pairs(a, b, want) by their sets; a is the leader. rep(node, doc_id) names a document of each node."""
     crowd = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_MEMBERS).cast("int").alias("salts"))
     salted = pairs.join(crowd, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int"))
-    members = salted.select(F.col("a").alias("leader"), "salt", F.lit(1).alias("role"), F.col("b").alias("node"), "want")
-    leaders = salted.select(F.col("a").alias("leader"), "salt").distinct().select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("node"), F.lit(False).alias("want"))
+    members = salted.select(F.col("a").alias("leader"), "salt", "salts", F.lit(1).alias("role"), F.col("b").alias("node"), "want")
+    leaders = salted.select(F.col("a").alias("leader"), "salt", "salts").distinct().select("leader", "salt", "salts", F.lit(0).alias("role"), F.col("leader").alias("node"), F.lit(False).alias("want"))
     roles = members.unionByName(leaders).join(rep, "node")
     if pairs.count() <= BROADCAST_PAIRS:  # else texts are shuffled by id
         roles = F.broadcast(roles)
-    texts = docs.join(roles, F.col("id") == F.col("doc_id")).select("leader", "salt", "role", "node", "want", "text")
-    sets = texts.mapInArrow(_with_sets, "leader long, salt int, role int, node long, want boolean, members binary")
+    texts = docs.join(roles, F.col("id") == F.col("doc_id")).select("leader", "salt", "salts", "role", "node", "want", "text")
+    sets = texts.mapInArrow(_with_sets(names), "leader long, salt int, salts int, role int, node long, want boolean, members binary")
     placed = sets.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
-    return placed.mapInArrow(_verify, "a long, b long, alike boolean, n long, diff binary")
+    return placed.mapInArrow(_verify, "a long, b long, kind int, alike boolean, near boolean, n long, diff binary")
 
 
-def _candidates(rows: DataFrame, most: int, total: int) -> DataFrame:
+def _candidates(rows: DataFrame, most: int, total: int, names: Names) -> DataFrame:
     """Rows (kind 0: pair a, b of nodes; kind 1: key a with many nodes, its node b; and what meet() tells of them), cut."""
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     buckets = parts * max(1, -(-int(total * 0.6) // (KEYS_PER_BUCKET * parts)))
-    placed = rows.select("text").mapInArrow(_emit(buckets, most), "bucket int, nodes binary, counts binary, skips binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
+    placed = rows.select("text").mapInArrow(_emit(buckets, most, names), "bucket int, nodes binary, counts binary, skips binary, keys binary").repartition("bucket").sortWithinPartitions("bucket")
     return cut(placed.mapInArrow(_meet, "kind int, a long, b long, skip int, band int, shared int"), "met")
 
 
@@ -395,7 +519,9 @@ def _crowded(met: DataFrame) -> DataFrame:
     kept = cut(sized.withColumn("rank", rank).where("rank > skip").select("key", "node", "size"), "kept")
     known = kept.groupBy("node").agg(F.sum("size").alias("fame"))
     led = kept.join(known, "node").groupBy("key").agg(F.max_by("node", F.struct("fame", "node")).alias("leader"), F.count("*").alias("left")).where("left > 1")
-    return cut(kept.select("key", "node").join(led.select("key", "leader"), "key"), "crowded")
+    out = cut(kept.select("key", "node").join(led.select("key", "leader"), "key"), "crowded")
+    drop(kept)
+    return out
 
 
 def _named(df: DataFrame, comps: DataFrame, node: str, comp: str) -> DataFrame:
@@ -404,18 +530,20 @@ def _named(df: DataFrame, comps: DataFrame, node: str, comp: str) -> DataFrame:
 
 
 def _by_difference(told: DataFrame) -> DataFrame:
-    """Pairs of nodes near one leader that can be alike though not both are alike to it.
+    """Pairs of nodes near one leader of many members that can be alike though not both are alike to it.
 
     Two sets differ in d1 + d2 less twice what their differences from the leader share, so they must share
     (d1 + d2 - k) / 2 hashes of them at least. Hashes are ranked by how few of the leader's nodes have them, and a pair
     must meet at a hash that stands early enough in both (prefix filter with the pair's own bound).
     """
-    near = told.where("diff is not null").withColumn("d", (F.octet_length("diff") / 8).cast("long"))
+    near = told.where("kind = 0 and diff is not null").withColumn("d", (F.octet_length("diff") / 8).cast("long"))
     # alike sets differ from the leader by figures that are close; what has no such partner is left out
     odd = near.groupBy("a").agg(F.count_if(~F.col("alike")).alias("odd"), F.min(F.when(~F.col("alike"), F.col("d"))).alias("least"), F.max(F.when(F.col("alike"), F.col("d"))).alias("most")).where("odd > 0")
     close = lambda far, by: F.coalesce(NUM * (F.col(far) - F.col(by)) <= (DEN - NUM) * F.col("n"), F.lit(False))
     near = cut(near.join(odd, "a").where(F.when(F.col("alike"), close("least", "d")).otherwise((F.col("odd") > 1) | close("d", "most"))).select("a", "b", "alike", "n", "d", "diff"), "near")
-    each = cut(near.select("a", "b", "diff").mapInArrow(_spread, "a long, b long, e int"), "differences")
+    if near.isEmpty():
+        return near.select("a", "b")
+    each = spread = cut(near.select("a", "b", "diff").mapInArrow(_spread, "a long, b long, e int"), "differences")
     each = each.join(each.groupBy("a", "e").agg(F.count("*").alias("df")), ["a", "e"])
     each = each.withColumn("rank", F.row_number().over(Window.partitionBy("a", "b").orderBy("df", "e"))).where("df > 1").select("a", "b", "e", "rank")
     each = each.join(near.select("a", "b", "alike", "n", "d"), ["a", "b"])
@@ -428,57 +556,76 @@ def _by_difference(told: DataFrame) -> DataFrame:
     need = (DEN + NUM) * (F.col("dx") + F.col("dy")) - (DEN - NUM) * (F.col("nx") + F.col("ny"))
     early = lambda d, r: 2 * (DEN + NUM) * (F.col(d) - F.col(r) + 1) >= need
     met = x.join(y, ["a", "e"]).where((F.col("ya") | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y")) & early("dx", "rx") & early("dy", "ry"))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "by-difference")
+    drop(near, spread)
+    return met
 
 
 def _far_apart(crowded: DataFrame, told: DataFrame) -> DataFrame:
     """Pairs under a key of which one is far from the key's leader: they differ from it by more than FAR_NUM / FAR_DEN of
     their size.
 
-    Such a node can't be alike to one that is alike to the leader, so it meets the others only.
+    Such a node can't be alike to one that is alike to the leader, so it meets the others only. FAR_NODES of a key go to
+    a salt, so that no task gets all the pairs of a key.
     """
-    where = told.select(F.col("a").alias("leader"), F.col("b").alias("node"), "alike", F.col("diff").isNotNull().alias("near"))
+    where = told.where("kind = 0").select(F.col("a").alias("leader"), F.col("b").alias("node"), "alike", "near")
     known = crowded.where("node != leader").join(where, ["leader", "node"], "left")
     far = known.where("not coalesce(near, false)").select("key", F.col("node").alias("x"))
     rest = known.where("not coalesce(alike, false)").select("key", "node", F.coalesce("near", F.lit(False)).alias("near"))
-    met = far.join(rest, "key").where((F.col("near") & (F.col("x") != F.col("node"))) | (~F.col("near") & (F.col("x") < F.col("node"))))
+    salts = far.groupBy("key").agg(F.ceil(F.count("*") / FAR_NODES).cast("int").alias("salts"))
+    far = far.join(salts, "key").withColumn("salt", F.pmod(F.xxhash64("x"), F.col("salts")).cast("int")).drop("salts")
+    rest = rest.join(salts, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    met = far.join(rest, ["key", "salt"]).where((F.col("near") & (F.col("x") != F.col("node"))) | (~F.col("near") & (F.col("x") < F.col("node"))))
     return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _name_nodes(rows: DataFrame, bits: int) -> tuple[DataFrame, Names]:
+    """(doc_id, n, node, sketch) of every row, cut, and how sets are named."""
+    names = Names(bits)
+    described = cut(rows.mapInArrow(_describe(names), "doc_id long, n long, node long, chk long, sketch binary"), "sets")
+    clash = described.where("node is not null").groupBy("node").agg((F.min("chk") != F.max("chk")).alias("clash")).where("clash").select("node")
+    found = clash.limit(MOST_CLASHES + 1).collect()  # about n * n / 2^65 of n sets
+    if len(found) > MOST_CLASHES:
+        raise RuntimeError(f"over {MOST_CLASHES} hashes of nodes belong to several sets")
+    if found:
+        names = Names(bits, frozenset(r.node for r in found))
+        described = described.join(F.broadcast(clash.withColumn("clash", F.lit(True))), "node", "left").withColumn("node", F.when(F.col("clash"), F.col("chk")).otherwise(F.col("node")))
+    return described.select("doc_id", "n", "node", "sketch"), names
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", node_bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id) of every row; set_id is equal for equal sets."""
-    spark = docs.sparkSession
     small_batches(docs)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described = cut(rows.mapInArrow(_describe, "doc_id long, n long, node long, chk long, sketch binary"), "sets")
+    described, names = _name_nodes(rows, node_bits)
     # a task writes the sketch of a node once, so max() picks it out
-    nodes = cut(described.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch"), (F.min("chk") != F.max("chk")).alias("clash")), "nodes")
-    stats = nodes.agg(F.max("n").alias("most"), F.sum("n").alias("total"), F.bool_or("clash").alias("clash")).first()
+    nodes = cut(described.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.min("doc_id").alias("least"), F.max("sketch").alias("sketch")), "nodes")
+    stats = nodes.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
     alone = described.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("node").alias("set_id"))
     if not stats.most:
         return alone
-    if stats.clash:
-        raise RuntimeError("two different sets share a 64-bit node hash")
-    met = _candidates(rows, int(stats.most), int(stats.total))
-    release(spark)
+    met = _candidates(rows, int(stats.most), int(stats.total), names)
     rep = nodes.where("least is not null").select("node", F.col("least").alias("doc_id"))
     crowded = _crowded(met)
     star = crowded.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     star = cut(_screen(star, nodes, near=True).select("a", "b"), "star")
     pairs = cut(_screen(_paired(met), nodes), "close")
+    drop(met)
     # first round: every node with its leaders and, under rarer keys, with the nearest candidate seen from its larger end
-    best = cut(pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b"), "best")
-    asked = star.withColumn("want", F.lit(True)).unionByName(best.withColumn("want", F.lit(False))).groupBy("a", "b").agg(F.max("want").alias("want"))
-    told = cut(_compare(cut(asked, "asked"), rep, rows), "told-pairs")
-    release(spark)
+    best = pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
+    asked = cut(star.withColumn("want", F.lit(True)).unionByName(best.withColumn("want", F.lit(False))).groupBy("a", "b").agg(F.max("want").alias("want")), "asked")
+    told = cut(_compare(asked, rep, rows, names), "told-pairs")
+    drop(star, asked)
     first = told.where("alike").select("a", "b")
     comps = components(first, small=0)
     more = pairs.select("a", "b").unionByName(_screen(_by_difference(told).unionByName(_far_apart(crowded, told)).distinct(), nodes).select("a", "b"))
     done = told.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = _named(_named(more.distinct().join(done, ["a", "b"], "left_anti"), comps, "a", "ca"), comps, "b", "cb").where("ca != cb")
-    second = cut(_compare(cut(rest.select("a", "b", F.lit(False).alias("want")), "rest"), rep, rows).where("alike").select("a", "b"), "links")
-    release(spark)
+    rest = cut(_named(_named(more.distinct().join(done, ["a", "b"], "left_anti"), comps, "a", "ca"), comps, "b", "cb").where("ca != cb").select("a", "b", F.lit(False).alias("want")), "rest")
+    drop(pairs, crowded)
+    second = cut(_compare(rest, rep, rows, names).where("alike").select("a", "b"), "links")
+    drop(rest)
     comps = components(first.unionByName(second), small=0)
+    drop(told, second)
     whose = _named(nodes.select("node", "least"), comps, "node", "comp")
     final = whose.join(whose.groupBy("comp").agg(F.min("least").alias("component_id")), "comp").select("node", "component_id")
     out = described.where("node is not null").join(final, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("node").alias("set_id"))

@@ -137,6 +137,95 @@ def test_jaccard_join_large_group(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(items)
 
 
+def spoilt(rng, base, share, pool):
+    """base with this share of its words replaced, at places and by words that several texts share."""
+    out = list(base)
+    for _ in range(int(len(base) * share)):
+        k = rng.randrange(len(base) // 4) * 4
+        out[k] = rng.choice(pool)
+    return " ".join(out)
+
+
+@pytest.mark.parametrize("held", [False, True])
+def test_jaccard_join_on_differences(spark, monkeypatch, held):
+    """Texts that aren't alike to their leader but to each other are linked, in the leader's task and beyond it."""
+    rng = random.Random(21)
+    base = [f"{w}{k}" for k, w in enumerate(prose(rng, 120).split())]
+    items = {}
+    for family in range(8):  # each family is far from being alike to the base, and close within
+        own = spoilt(rng, base, 0.12, [f"f{family}"]).split()
+        for k in range(6):
+            items[family * 6 + k] = spoilt(rng, own, 0.01, [f"one{family}-{k}"])
+    items |= {100 + k: spoilt(rng, base, 0.01, [f"near{k}"]) for k in range(20)}
+    want = brute_components(items)
+    assert 4 < len({c for _, c in want.values()}) < 60
+    frame = spark.createDataFrame(list(items.items()), "doc_id long, text string")
+    travelled = []
+    by_difference = op2_jaccard._by_difference
+    monkeypatch.setattr(op2_jaccard, "_by_difference", lambda told: travelled.append(told.where("diff is not null").count()) or by_difference(told))
+    if not held:  # differences travel, as if the leader's members were too many
+        monkeypatch.setattr(op2_jaccard, "SALT_MEMBERS", 3)
+    got = op2_jaccard.near_duplicates(frame)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+    assert bool(travelled[0]) == (not held)
+
+
+def test_links_within_a_leader():
+    rng = np.random.default_rng(4)
+    for _ in range(50):
+        held = np.unique(rng.integers(0, 2**40, 100).astype(np.uint64))
+        sets = []
+        for _ in range(20):
+            start = sets[rng.integers(len(sets))] if len(sets) and rng.random() < 0.7 else held
+            sets.append(np.unique(np.concatenate([start[rng.random(len(start)) > 0.08], rng.integers(0, 2**40, rng.integers(0, 12)).astype(np.uint64)])))
+        same = lambda a, b: bool(op2_jaccard.alike(len(np.intersect1d(a, b)), len(a), len(b)))
+        members = [(k, same(s, held), len(s), np.setxor1d(s, held)) for k, s in enumerate(sets)]
+        group = {k: k for k in range(-1, 20)}
+
+        def root(x, group=group):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        def partition(links, root=root, group=group):
+            for k in group:
+                group[k] = k
+            for a, b in links:
+                group[root(a)] = root(b)
+            return {frozenset(k for k in group if root(k) == r) for r in map(root, group)}
+
+        starred = [(-1, k) for k, ok, _, _ in members if ok]
+        every = [(a, b) for a in range(20) for b in range(a) if same(sets[a], sets[b])]
+        got = op2_jaccard.links_within(-1, members)
+        assert partition(starred + got) == partition(starred + [(a, b) for a, b in every if not (members[a][1] and members[b][1])]) and len(got) <= 20
+
+
+def test_nodes_of_one_hash(spark, docs, texts):
+    """Sets that share the hash that names them go by a second one."""
+    got = op2_jaccard.near_duplicates(docs, node_bits=3).collect()
+    want = brute_components(dict(enumerate(texts)))
+    assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
+def test_jaccard_join_empty(empty):
+    assert op2_jaccard.near_duplicates(empty).count() == 0
+
+
+def test_word_hashes_of_long_words():
+    """A word that is longer than what is hashed at once has the hash of its bytes, wherever it stands."""
+    from lithoframe.llm import common
+
+    long = b"Q" * (common.KEPT_POWERS * 3 + 5)
+    for rows in ([long], [b"a b", long + b" c " + long.lower(), b""], [b"x " * common.SLICE_BYTES, b"y"]):
+        data, offsets = np.frombuffer(b"".join(rows), np.uint8), np.cumsum([0] + [len(r) for r in rows])
+        _, _, hashes, at = common.words_of(data, offsets)
+        for k, r in enumerate(rows):
+            words = r.lower().split()
+            assert at[k + 1] - at[k] == len(words)
+            alone = {w: int(common.words_of(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0]) for w in set(words)}
+            assert hashes[at[k] : at[k + 1]].tolist() == [alone[w] for w in words]
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (1, 3, 10, 100, 1000):
