@@ -61,10 +61,3 @@ def drop(*cuts: DataFrame) -> None:
         if path := _PATHS.pop(df, None):
             df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
