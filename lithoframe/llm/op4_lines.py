@@ -1,18 +1,20 @@
 """Line dedup: content-defined chunks of lines; chunks of several lines that occur again in the corpus are removed.
 
-A rolling hash over each line's hash and the one before it marks lines where a chunk may end (half of them). A chunk ends
-at a marked line whose predecessor isn't marked, so its boundaries hang on three neighbouring lines only and survive
-whatever is inserted or removed elsewhere; chunks have two lines or more. The last chunk takes what is left.
-
-Chunks meet by 64-bit hash and length. The first occurrence (by id, text hash, chunk number) stays; another one goes only
-if its bytes are those of the first. All of it is DataFrame operations. Keys are counted without texts; texts are
-shuffled by id to get the bytes of those chunks whose key occurs again, and to rewrite. Counts combine on the map side, and
-joins by key are inner joins of many rows against one row for each key, so a key that a third of all rows share can be
-split over tasks.
-
-Defined cases: a null text stays null; an empty text is one empty line; a text of one line has no chunk of several lines
-and stays; repeated rows (same id and text) are one document and stay equal; rows with a null id are documents like others;
-columns pass through, and those named like the new ones are replaced.
+A rolling hash over the hashes of two neighbouring lines says whether they belong together: they do if the corpus holds the
+same two lines in a row elsewhere too. A chunk is a longest run of lines whose rolling hashes all occur earlier in the
+corpus, so its boundaries lie where a passage starts or stops being a copy, hang on two lines each, and survive whatever is
+inserted or removed elsewhere. (Boundaries that are chosen by a hash's value alone leave most passages of two to five lines
+whole, as two boundaries must fall into each.) Chunks have two lines or more; single repeated lines stay.
+
+Rolling hashes are counted without texts. Texts are shuffled by id to get the bytes of the lines whose hash occurs again,
+and to rewrite. Equal bytes decide, so colliding hashes do no harm: the first occurrence of two lines (by id, text hash,
+line number) stays, the others go. The earliest occurrence of every line is in no chunk that goes, so no line is lost from
+the corpus. All of it is DataFrame operations. Counts and first places combine on the map side, and joins by key are inner
+joins of many rows against one row for each key, so a key that a third of all rows share can be split over tasks.
+
+Defined cases: a null text stays null; an empty text is one empty line; a text of one line stays; two empty lines in a row
+are no chunk by themselves; repeated rows (same id and text) are one document and stay equal; rows with a null id are
+documents like others; columns pass through, and those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -22,9 +24,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, drop, table
 
-MIN_LINES = 2
 _NEW = ("n_lines", "n_removed_chunks", "n_removed_lines")
 
 
@@ -33,59 +34,39 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _ends(hashes: Column) -> Column:
-    """Numbers of the last lines of all chunks, from the lines' hashes."""
-    marked = F.zip_with(F.concat(F.array(F.lit("")), hashes), hashes, lambda before, x: F.coalesce((before != "") & (F.md5(F.concat(before, x)) < "8"), F.lit(False)))
+def _rolling(lines: Column) -> Column:
+    """One hash for each two neighbouring lines, from the hashes of the lines; null for two empty ones."""
+    both = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.when((x != F.xxhash64(F.lit(""))) | (y != F.xxhash64(F.lit(""))), F.xxhash64(x, y)))
+    return _let(F.transform(lines, lambda x: F.xxhash64(x)), both)
 
-    def inner(m: Column) -> Column:
-        alone = F.transform(m, lambda x, i: F.when((i >= 1) & (i <= F.size(m) - 4) & x & ~F.element_at(m, F.greatest(i, F.lit(1))), i + 1))
-        return F.concat(F.filter(alone, lambda i: i.isNotNull()), F.array(F.size(m) - 1))
 
-    return _let(marked, inner)
-
-
-def _chunks(text_col: str) -> Column:
-    """The list of (no, lines, text) of all chunks; null for a null text."""
-
-    def chunks(lines: Column) -> Column:
-        def each(ends: Column) -> Column:
-            start = lambda j: F.when(j > 0, F.element_at(ends, F.greatest(j, F.lit(1)))).otherwise(0)
-            return F.transform(ends, lambda end, j: F.struct(j.alias("no"), (end - start(j)).alias("lines"), F.array_join(F.slice(lines, start(j) + 1, end - start(j)), "\n").alias("text")))
-
-        return _let(_ends(F.transform(lines, F.md5)), each)
-
-    return F.when(F.col(text_col).isNotNull(), _let(F.split(text_col, "\n", -1), chunks))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text rewritten, and the numbers of lines, removed chunks and removed lines."""
     keep = [c for c in docs.columns if c not in _NEW]
     names = {"_lf_id": F.col(id_col).cast("string"), "_lf_h": F.xxhash64(text_col)}
-    small = docs.select(F.col(id_col), F.col(text_col)).withColumns({**names, "_lf_chunks": _chunks(text_col)})
-    each = small.select("_lf_id", "_lf_h", F.explode("_lf_chunks").alias("c")).where(F.col("c.lines") >= min_lines)
-    each = cut(each.select("_lf_id", "_lf_h", F.col("c.no").alias("no"), F.xxhash64("c.text").alias("key"), F.octet_length("c.text").alias("bytes")), "line-chunks")
-    first = each.groupBy("key", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("_lf_id", "_lf_h", "no")).alias("at")).where("n > 1").drop("n")
-    again = each.join(first, ["key", "bytes"]).withColumn("first", F.struct("_lf_id", "_lf_h", "no").eqNullSafe(F.col("at")))
-    by_doc = again.groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set(F.struct("no", "key", "bytes", "first")).alias("_lf_again"))
+    lines = F.split(text_col, "\n", -1)
+    small = docs.select(F.col(id_col), F.col(text_col)).withColumns(names).where(F.instr(text_col, "\n") > 0)
+    each = cut(small.select("_lf_id", "_lf_h", F.posexplode(_rolling(lines)).alias("no", "key")).where("key is not null"), "line-pairs")
+    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    by_doc = each.join(often, "key").groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set(F.struct("no", "key")).alias("_lf_again"))
     same_doc = F.col("_lf_id").eqNullSafe(F.col("gid")) & F.col("_lf_h").eqNullSafe(F.col("gh"))
     plain = docs.select(*keep).withColumns(names)
-    # bytes of the chunks that have an equal key somewhere, and of no others
-    held = plain.join(by_doc, same_doc).select("gid", "gh", "_lf_again", _chunks(text_col).alias("_lf_chunks"))
-    texts = F.transform("_lf_again", lambda r: F.struct(r.alias("r"), F.element_at("_lf_chunks", r["no"] + 1)["text"].alias("chunk")))
-    held = cut(held.select("gid", "gh", F.explode(texts).alias("x")).select("gid", "gh", "x.r.*", "x.chunk"), "line-repeats")
-    kept = held.where("first").select(F.col("key").alias("k"), F.col("bytes").alias("b"), F.col("chunk").alias("original")).dropDuplicates(["k", "b"])
-    gone = held.where("not first").join(kept, (F.col("key") == F.col("k")) & (F.col("bytes") == F.col("b"))).where(F.col("chunk") == F.col("original"))
-    gone = gone.groupBy("gid", "gh").agg(F.collect_set("no").alias("_lf_gone"))
+    # bytes of those lines that have an equal rolling hash somewhere, and of no others; repeated rows come more than once
+    two = lambda own: F.transform("_lf_again", lambda r: F.struct(r["no"].alias("no"), r["key"].alias("key"), F.concat_ws("\n", F.element_at(own, r["no"] + 1), F.element_at(own, r["no"] + 2)).alias("chunk")))
+    held = plain.join(by_doc, same_doc).select("gid", "gh", F.explode(_let(lines, two)).alias("x"))
+    held = cut(held.select("gid", "gh", "x.*"), "line-repeats")
+    drop(each)
+    first = held.groupBy(F.col("key").alias("k"), F.col("chunk").alias("original")).agg(F.min(F.struct("gid", "gh", "no")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    gone = held.join(first, (F.col("key") == F.col("k")) & (F.col("chunk") == F.col("original"))).where(~F.struct("gid", "gh", "no").eqNullSafe(F.col("at")))
+    gone = cut(gone.groupBy("gid", "gh").agg(F.collect_set("no").alias("_lf_gone")), "line-gone")
+    drop(held)
+    after = F.transform("_lf_gone", lambda i: i + 1)
     joined = plain.join(gone, same_doc, "left").drop("_lf_id", "_lf_h", "gid", "gh")
-    parted = F.when(F.col("_lf_gone").isNotNull(), _let(_chunks(text_col), lambda all_: F.struct(F.filter(all_, lambda c: F.array_contains("_lf_gone", c["no"])).alias("gone"), F.filter(all_, lambda c: ~F.array_contains("_lf_gone", c["no"])).alias("left"))))
-    lines = F.char_length(text_col) - F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
-    done = joined.withColumns({"_lf_parts": parted, "n_lines": F.coalesce(lines, F.lit(0)).cast("long")})
-    done = done.withColumns({
-        "n_removed_chunks": F.coalesce(F.size("_lf_parts.gone"), F.lit(0)).cast("long"),
-        "n_removed_lines": F.coalesce(F.aggregate("_lf_parts.gone", F.lit(0).cast("long"), lambda n, c: n + c["lines"]), F.lit(0).cast("long")),
-        text_col: F.when(F.col("_lf_gone").isNotNull(), F.array_join(F.transform("_lf_parts.left", lambda c: c["text"]), "\n")).otherwise(F.col(text_col)),
-    })
-    return done.select(*keep, *_NEW)
+    left = lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.array_union("_lf_gone", after)), lambda i: F.element_at(own, i + 1))
+    count = F.char_length(text_col) - F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
+    some = lambda value: F.coalesce(F.when(F.col("_lf_gone").isNotNull(), value), F.lit(0)).cast("long")
+    done = joined.withColumns({"n_lines": F.coalesce(count, F.lit(0)).cast("long"), "n_removed_chunks": some(F.size(F.array_except("_lf_gone", after))), "n_removed_lines": some(F.size(F.array_union("_lf_gone", after)))})
+    return done.withColumn(text_col, F.when(F.col("_lf_gone").isNotNull(), F.array_join(_let(lines, left), "\n")).otherwise(F.col(text_col))).select(*keep, *_NEW)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,13 +74,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i, len(string_split(text, chr(10))) AS n FROM documents),
-h AS (SELECT *, CASE WHEN i > 1 THEN md5(lag(md5(line)) OVER w || md5(line)) < '8' ELSE false END AS hit FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-b AS (SELECT *, i < n - 1 AND i >= 2 AND hit AND NOT lag(hit, 1, false) OVER (PARTITION BY doc_id ORDER BY i) AS ends FROM h),
-c AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no FROM b),
-k AS (SELECT doc_id, no, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM c GROUP BY doc_id, no),
-r AS (SELECT *, lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY CAST(doc_id AS VARCHAR), no) > 1 AS gone FROM k)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(chunk, chr(10) ORDER BY no) FILTER (NOT gone), '') END AS text, coalesce(CAST(sum(lines) AS BIGINT), 0) AS n_lines,
-  count(r.no) FILTER (gone) AS n_removed_chunks, coalesce(CAST(sum(lines) FILTER (gone) AS BIGINT), 0) AS n_removed_lines
-FROM documents d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id, d.text
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM l),
+r AS (SELECT *, after IS NOT NULL AND (line <> '' OR after <> '') AND row_number() OVER (PARTITION BY line, after ORDER BY CAST(doc_id AS VARCHAR), i) > 1 AS copied FROM p),
+g AS (SELECT *, copied OR lag(copied, 1, false) OVER w AS gone, copied AND NOT lag(copied, 1, false) OVER w AS starts FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') END AS text, count(i) AS n_lines,
+  count(i) FILTER (starts) AS n_removed_chunks, count(i) FILTER (gone) AS n_removed_lines
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id, d.text
 """
