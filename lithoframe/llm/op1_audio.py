@@ -3,8 +3,9 @@
 The stored form is a mono WAV file of unsigned 8-bit samples, which holds the bytes as they are. Features are read from
 the stored bytes: a rational polyphase resampler, overlapping windowed frames, a mel filterbank in decibels, and segments
 found by a two-threshold (hysteresis) rule on frame energy. Log-mel frames are packed into fixed-shape Arrow tensors of
-TENSOR_FRAMES x MELS, each with its time span, as an Arrow IPC stream. Frames are made in blocks of BLOCK frames, so
-memory doesn't follow the length of a text beyond its own bytes.
+TENSOR_FRAMES x MELS, each with its time span, as an Arrow IPC stream; a row's feature is computed from that stream, read
+back. Frames are made in blocks of BLOCK frames, and a batch of results goes on at OUT_BYTES, so memory doesn't follow the
+length of a text beyond a small multiple of its own bytes.
 
 Defined cases: a null or empty text is one unit of padding; equal texts give equal values whatever stands around them;
 rows are independent, so ties and repeated rows are each answered; other columns are ignored.
@@ -22,13 +23,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 
 UNIT, FILL = 576, 255
-RATE, UP, DOWN = 16_000, 1, 2
+RATE, UP, DOWN = 16_000, 2, 3
 FRAME, HOP, MELS = 256, 128, 32
-TENSOR_FRAMES, BLOCK = 16, 2048
+TENSOR_FRAMES, BLOCK, OUT_BYTES = 16, 2048, 8 << 20
 HEAR_DB, LOSE_DB = 1.5, -1.5
 TAPS = 12  # for each phase
 
@@ -66,7 +68,7 @@ def low_pass(up: int, down: int) -> np.ndarray:
     return (phases / phases.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def resample(x: np.ndarray, first: int, end: int, up: int = UP, down: int = DOWN) -> np.ndarray:
+def resample(x: np.ndarray, first: int, end: int, up: int = 1, down: int = 2) -> np.ndarray:
     """Samples first to end of x at up/down times its rate; only the needed inputs are touched, and x counts as zero outside."""
     out = np.zeros(end - first, np.float32)
     taps = low_pass(up, down)
@@ -109,7 +111,7 @@ def log_mel(samples: bytes, rate: int) -> tuple[np.ndarray, np.ndarray, float]:
     centred = (x.astype(np.float32) - 128) / 128
     for f in range(0, frames, BLOCK):
         e = min(frames, f + BLOCK)
-        y = resample(centred, f * HOP, (e - 1) * HOP + FRAME)
+        y = resample(centred, f * HOP, (e - 1) * HOP + FRAME, UP, DOWN)
         each = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP] * window
         power = np.abs(np.fft.rfft(each, axis=1)).astype(np.float32) ** 2
         mels[f:e] = 10 * np.log10(power @ bank + 1e-6)
@@ -143,62 +145,64 @@ def tensors(mels: np.ndarray, seconds: float) -> bytes:
     return out.getvalue()
 
 
+def read_tensors(stream: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(n, TENSOR_FRAMES, MELS) values and (n, 2) time spans of such a stream."""
+    got = pa.ipc.open_stream(pa.py_buffer(stream)).read_all().combine_chunks()
+    return got.column("tensor").combine_chunks().to_numpy_ndarray(), np.stack([got.column("start_s").to_numpy(), got.column("end_s").to_numpy()], axis=1)
+
+
 def describe(text: bytes) -> dict:
-    """Everything about one row, from its stored form."""
+    """Everything about one row, from its stored forms."""
     padded = text + bytes([FILL]) * (-len(text) % UNIT or UNIT * (not text))
     media = to_wav(padded)
     payload, rate = from_wav(media)
     mels, energy, seconds = log_mel(payload, rate)
+    frames, stream = len(mels), tensors(mels, seconds)
     spans = segments(energy)
-    means = ",".join(f"{v + 0.0:.1f}" for v in np.round(mels.mean(axis=0, dtype=np.float64), 1))
+    del mels, energy
+    values, times = read_tensors(stream)
+    means = ",".join(f"{v + 0.0:.1f}" for v in np.round(values.reshape(-1, MELS)[:frames].mean(axis=0, dtype=np.float64), 1))
     return {
         "n_bytes": len(text), "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]),
         "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(),
-        "feature": f"frames={len(mels)};segments={len(spans)};held={int((spans[:, 1] - spans[:, 0]).sum())};mel={means}",
-        "n_frames": len(mels), "n_segments": len(spans), "media": media, "mels": mels, "seconds": seconds, "spans": spans,
+        "feature": f"frames={frames};tensors={len(values)};seconds={times[-1, 1]:.3f};segments={len(spans)};held={int((spans[:, 1] - spans[:, 0]).sum())};mel={means}",
+        "n_frames": frames, "n_segments": len(spans), "media": media, "tensors": stream, "segments": [{"start_s": a * seconds, "end_s": b * seconds} for a, b in spans.tolist()],
     }
 
 
-DIGEST = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_segments"]
-DIGEST_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
-MEDIA_SCHEMA = f"{DIGEST_SCHEMA}, media binary, tensors binary, segments array<struct<start_s: double, end_s: double>>"
-_DIGEST_ARROW = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in DIGEST_SCHEMA.split(", ")])
-_SPANS_ARROW = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
-_MEDIA_ARROW = pa.schema([*_DIGEST_ARROW, pa.field("media", pa.binary()), pa.field("tensors", pa.binary()), pa.field("segments", _SPANS_ARROW)])
+MEDIA_SCHEMA = (
+    "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long, "
+    "media binary, tensors binary, segments array<struct<start_s: double, end_s: double>>"
+)
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+_SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+_ARROW = pa.schema([(x.split()[0], _KINDS[x.split()[1]]) for x in MEDIA_SCHEMA.split(", ")[:12]] + [("segments", _SPANS)])
 
 
-def _run(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
-    schema = _MEDIA_ARROW if full else _DIGEST_ARROW
+@frugal
+def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, held = [], 0
         for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            row = describe((text.as_py() or "").encode())
-            out = {"doc_id": doc_id.as_py()} | {k: row[k] for k in DIGEST}
-            if full:
-                out |= {"media": row["media"], "tensors": tensors(row["mels"], row["seconds"]), "segments": [{"start_s": a * row["seconds"], "end_s": b * row["seconds"]} for a, b in row["spans"].tolist()]}
-                held += len(out["media"]) + len(out["tensors"])
-            rows.append(out)
-            if held > 32 << 20:
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows.append({"doc_id": doc_id.as_py()} | describe((text.as_py() or "").encode()))
+            held += len(rows[-1]["media"]) + len(rows[-1]["tensors"])
+            if held > OUT_BYTES:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
                 rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _run(batches, True)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _run(batches, False)
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
 
-def audio_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_only: bool = False) -> DataFrame:
-    """One row for each row of docs: digests and, unless digest_only, the WAV file, the tensors and the segments."""
+def audio_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: digests, the WAV file, the tensors and the segments."""
     small_batches(docs)
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return rows.mapInArrow(_digest, DIGEST_SCHEMA) if digest_only else rows.mapInArrow(_full, MEDIA_SCHEMA)
+    return rows.mapInArrow(_run, MEDIA_SCHEMA)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_media(table(spark, sf_dir, "documents"), digest_only=True)
+    """The digests, with those of the tensors and the segments' time spans; media and tensors themselves stay in the operator's output."""
+    found = audio_media(table(spark, sf_dir, "documents"))
+    span = lambda x: F.format_string("%.3f-%.3f", x["start_s"], x["end_s"])
+    new = {"tensor_bytes": F.length("tensors").cast("long"), "tensor_sha256": F.sha2("tensors", 256), "time_spans": F.array_join(F.transform("segments", span), ",")}
+    return found.withColumns(new).drop("media", "tensors", "segments")
