@@ -1,7 +1,9 @@
 """PII: base patterns seed lexical context patterns, Spark scores the pattern-instance graph, good patterns find unseen identifiers.
 
-Base spans (email, ip, card, phone) are the seeds. Every seed and every other identifier-like token gives two lexical
-patterns: its two words to the left, and one word on either side. In each round a pattern's confidence for a kind is the
+Base spans (email, ip, card, phone) are the seeds. Every seed and every other identifier-like token gives four lexical
+patterns: its two words to the left; one word on either side; the word to the left with the punctuation between; and the
+word to the left with the identifier's shape (its digits, and whether it has letters). Words are whole, however long. In
+each round a pattern's confidence for a kind is the
 summed confidence of its distinct instances over their number plus one, and an unseen instance takes the best confidence
 of its patterns that have MIN_SEEDS instances of the kind. Instances of MIN_CONFIDENCE after ROUNDS rounds are reported as
 `context-<kind>` spans, after the base spans.
@@ -16,6 +18,7 @@ are answered one by one; other columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, frugal, small_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
@@ -36,7 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _OTHER = re.compile(r"(?<![0-9A-Za-z_-])[A-Z]{0,4}-?[0-9][0-9A-Za-z-]{4,}")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_EDGES = ".,;:!?()[]{}\"'<>|*#%&$"
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 def luhn(digits: str) -> bool:
@@ -75,10 +78,29 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
     return [list(emails(text)), ip, card, phone]
 
 
-def _around(text: str, start: int, end: int) -> tuple[str, str]:
-    left = [w.strip(_EDGES).lower() for w in text[max(0, start - 80) : start].split()][-2:]
-    right = [w.strip(_EDGES).lower() for w in text[end : end + 40].split()][:1]
-    return " ".join(["", *left][-2:]) + " _", f"{(left or [''])[-1]} _ {(right or [''])[0]}"
+def patterns(text: str, found: list[tuple[int, int, int]]) -> Iterator[list[str]]:
+    """The lexical patterns of each of found(start, end, kind), from the text's words and signs."""
+    spans = [m.span() for m in _TOKEN.finditer(text)] if found else []
+    starts, ends = [s for s, _ in spans], [e for _, e in spans]
+    is_word = [text[s].isalnum() or text[s] == "_" for s in starts]
+    for s, e, _ in found:
+        k = bisect_right(ends, s) - 1
+        signs, words = [], []
+        while k >= 0 and len(words) < 2:
+            token = text[spans[k][0] : spans[k][1]].lower()
+            if is_word[k]:
+                words.append(token)
+            elif not words and len(signs) < 3:
+                signs.append(token)
+            k -= 1
+        one, two = [*words, "^", "^"][:2]
+        k = bisect_left(starts, e)
+        while k < len(spans) and not is_word[k]:
+            k += 1
+        after = text[spans[k][0] : spans[k][1]].lower() if k < len(spans) else "$"
+        own = text[s:e]
+        shape = f"{sum(map(str.isdigit, own))}{'a' * any(map(str.isalpha, own))}"
+        yield [f"{two} {one} _", f"{one} _ {after}", f"{one} {''.join(signs[::-1])}_", f"{one} _{shape}"]
 
 
 def _hash(x: str) -> int:
@@ -96,11 +118,7 @@ def occurrences(text: str, spans: list[list[tuple[int, int]]]) -> list[dict]:
         i = int(np.searchsorted(starts, e)) - 1
         if i < 0 or reach[i] <= s:
             found.append((s, e, -1))
-    out = []
-    for s, e, k in found:
-        two, one = _around(text, s, e)
-        out.append({"kind": k, "instance": _hash(text[s:e]), "patterns": [_hash(two), _hash(one)], "s": s, "e": e})
-    return out
+    return [{"kind": k, "instance": _hash(text[s:e]), "patterns": [_hash(f"{n}{p}") for n, p in enumerate(own)], "s": s, "e": e} for (s, e, k), own in zip(found, patterns(text, found), strict=True)]
 
 
 _OCC = pa.list_(pa.struct([("kind", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64())), ("s", pa.int64()), ("e", pa.int64())]))
@@ -108,6 +126,7 @@ _ROW = pa.schema([("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KIND
 _ROW_DDL = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, occ array<struct<kind: int, instance: long, patterns: array<long>, s: long, e: long>>"
 
 
+@frugal
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
