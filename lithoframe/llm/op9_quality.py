@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import PLAIN_WORD, cut, mix, small_batches, table, text_views, words_of
+from .common import PLAIN_WORD, cut, frugal, mix, small_batches, table, text_views, words_of
 
 DIM, PLACES = 1 << 18, 64  # hashed words; hashed places of source and language
 TRAIN_ROWS, POOL_ROWS = 5000, 3000
 ROUNDS, SHARE, STEPS, RIDGE, WORD_RIDGE, PRIOR, CLEAR = 3, 0.05, 120, 1e-4, 3e-3, 4, 1.8
 LAYOUT, STEM = 13, 6  # figures of layout; bytes of a longer word that count as a word too
+TOXIC_BELOW = 0.3  # a toxic document that stays does more harm than a clean one that goes
+OFTEN = (2, 3, 5)  # so many words of one stem in a text count as further words
 
 
 @dataclass
@@ -81,7 +83,12 @@ def extract(text: pa.Array, lang: list, source: list) -> Features:
         stems = np.full(int(longer.sum()), 7, np.uint64)
         for k in range(STEM):
             stems = mix(stems + _FOLD[data[starts[longer] + k]])
-        pairs = np.unique(np.concatenate([row, row[longer]]) * DIM + (np.concatenate([hashes, stems]) >> np.uint64(46)).astype(np.int64))
+        # a stem that a row has often says more than one that it has once: each of OFTEN times is a word too
+        each, times = np.unique((row[longer].astype(np.uint64) << np.uint64(40)) | (stems >> np.uint64(24)), return_counts=True)
+        often = [each[times >= k] ^ np.uint64(k << 8) for k in OFTEN]
+        rows = [row, row[longer], *((x >> np.uint64(40)).astype(np.int64) for x in often)]
+        found = [hashes, stems, *(mix(x & np.uint64((1 << 40) - 1)) for x in often)]
+        pairs = np.unique(np.concatenate(rows) * DIM + (np.concatenate(found) >> np.uint64(46)).astype(np.int64))
         distinct = np.bincount(pairs // DIM, minlength=end - first)
         words.append((pairs % DIM).astype(np.int32))
         sizes[first:end] = distinct
@@ -239,6 +246,7 @@ def _binary(data: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * data.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+@frugal
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of a row ascend: low has the lower 16 bits of each, high how many have each value of the upper two."""
     for batch in batches:
@@ -277,6 +285,7 @@ _UNIT = 1 << 20  # metadata is summed in integers, so sums don't depend on the o
 
 
 def corpus_stats(feats: DataFrame) -> Stats:
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIM + 2 * _WIDTH + 2, np.int64)
         for batch in batches:
@@ -307,6 +316,7 @@ def surest(feats: DataFrame, learners: list[Learner], labelled: np.ndarray, pool
     shared = feats.sparkSession.sparkContext.broadcast(([x.views for x in learners], groups, labelled))
     first = lambda x: (-x[0], x[2], x[1])
 
+    @frugal
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         views, groups, labelled = shared.value
         best = {g: [] for g in groups}
@@ -372,13 +382,14 @@ def score(feats: DataFrame, models: tuple[Model, Model]) -> DataFrame:
     """(doc_id, quality_text, quality_meta, quality, toxic_score, keep) of every row of features."""
     shared = feats.sparkSession.sparkContext.broadcast(models)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         quality, toxic = shared.value
         for batch in batches:
             x = _unpacked(*batch.columns[1:])
             a, b, q = quality.scores(x)
             t = toxic.scores(x)[2]
-            yield pa.record_batch({"doc_id": batch.column(0), "quality_text": a, "quality_meta": b, "quality": q, "toxic": t, "keep": (q >= 0.5) & (t < 0.5)})
+            yield pa.record_batch({"doc_id": batch.column(0), "quality_text": a, "quality_meta": b, "quality": q, "toxic": t, "keep": (q >= 0.5) & (t < TOXIC_BELOW)})
 
     return feats.select("id", "low", "high", "meta").mapInArrow(run, "doc_id long, quality_text double, quality_meta double, quality double, toxic double, keep boolean")
 
