@@ -4,11 +4,12 @@ The model's protobuf is read field by field; from it come the normaliser (charac
 markers), the piece model (unigram with scores, or BPE with merges in the order of scores) and byte fallback. As no piece
 of such a model has a marker after another character, a text falls apart before blanks without changing its ids, so each
 distinct part of a batch is encoded once, all parts in one multithreaded call, and kept for later batches of the task.
-With verify, every part is also encoded by the sentencepiece library; where the two differ the latter's ids are taken and
-the row says so. Decoding is a table of bytes for each id.
+With verify, every part is also encoded by the sentencepiece library, and the row says whether the two agree; the ids are
+always those of the tokenizers library. Decoding is a table of bytes for each id.
 
 The model file is read by the driver at the path that is passed, and its bytes (MAX_MODEL_BYTES at most) are sent to the
-executors; nothing is trained. What a worker keeps beside a batch is bounded by KEEP_PARTS parts and KEEP_CHARS characters.
+executors; nothing is trained. What a task keeps beside a batch is bounded by KEEP_PARTS parts and KEEP_CHARS characters,
+and goes when the task ends.
 
 Defined cases: null and empty texts have no ids; a text of blanks only has ids; the marker character in a text counts as a
 blank, as in the original library, so decoding gives a blank for it; repeated rows are each answered; other columns are
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import frugal, small_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-KEEP_PARTS, KEEP_CHARS, GROUP = 500_000, 10_000_000, 256
+KEEP_PARTS, KEEP_CHARS, GROUP = 200_000, 4_000_000, 256
 MAX_MODEL_BYTES = 64 << 20
 ROWS_AT_ONCE = 1024
 
@@ -114,7 +115,7 @@ def build(spec: Spec, prefix: bool | None = None):
         model = models.BPE(ids, merges, unk_token=spec.pieces[spec.unk], fuse_unk=True, byte_fallback=spec.byte_fallback)
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
-        steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+        steps += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if spec.dummy_prefix if prefix is None else prefix:
         steps.append(normalizers.Prepend(MARK))
     out = Tokenizer(model)
@@ -189,8 +190,7 @@ class Encoder:
         same = np.ones(len(texts), bool)
         if self.check is not None:
             for k, true in enumerate(self._true(texts)):
-                if ids[k] != true:
-                    ids[k], same[k] = true, False
+                same[k] = ids[k] == true
         return ids, same
 
     def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,7 +260,7 @@ _MADE: dict[tuple[int, bool], Encoder] = {}
 
 
 def encoder_of(model: bytes, verify: bool) -> Encoder:
-    """One encoder for each worker process and model, so that its parts serve later tasks too."""
+    """One encoder for each worker process and model, as a tokenizer takes long to build."""
     key = (hash(model), verify)
     if key not in _MADE:
         _MADE.clear()
@@ -273,8 +273,15 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value, verify)
+        try:
+            yield from coded(encoder, batches)
+        finally:
+            encoder.forget()
+
+    def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS_AT_ONCE):
                 texts = [t or "" for t in batch.column(1).slice(k, ROWS_AT_ONCE).to_pylist()]
@@ -285,7 +292,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 data = data.tobytes()
                 prefix = b" " if encoder.spec.dummy_prefix else b""
                 back = [data[a:b] == (prefix + t.replace(MARK, " ").encode() if t else b"") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids, pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids, pa.int32()))  # a batch has fewer than 2^31 bytes
                 yield pa.record_batch({"doc_id": batch.column(0).slice(k, ROWS_AT_ONCE), "ids": lists, "n_tokens": pa.array(n.astype(np.int64)), "parity": pa.array(same), "round_trip": pa.array(back)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -296,6 +303,7 @@ def decode(encoded: DataFrame, model: bytes, ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of rows of ids."""
     shared = encoded.sparkSession.sparkContext.broadcast(model)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared.value, False)
         for batch in batches:
