@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, shingles_of, small_batches, table, text_views, words_of
+from .common import PLAIN_WORD, frugal, shingles_of, small_batches, table, text_views, words_of
 
 SEED_WORDS, RARE_DOCS = 4, 20
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.5
@@ -240,6 +240,7 @@ def _counted(docs: DataFrame, block: Block) -> np.ndarray:
     """Documents that hold each distinct gram of the block, over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(block)  # BLOCK_ITEMS and BLOCK_WORDS bound it
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sieve, lengths = Sieve(shared.value.grams), shared.value.lengths()
         total = np.zeros(len(sieve.keys), np.int64)
@@ -280,6 +281,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for block in blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast((block, rare(block, _counted(rows, block))))
 
+        @frugal
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
             sieve = Sieve(block.grams)
@@ -305,6 +307,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for block in blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast((block, rare(block, _counted(rows, block))))
 
+        @frugal
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, seeds = shared.value
             sieve = Sieve(block.grams)

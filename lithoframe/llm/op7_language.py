@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from .common import small_batches, table, text_views
+from .common import frugal, small_batches, table, text_views
 
 DIM = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 400, 3, 10
@@ -78,6 +78,7 @@ class Model:
     idf: np.ndarray
 
 
+@frugal
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(DIM, np.int64), 0
     for batch in batches:
@@ -143,6 +144,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # k * languages * DIM floats, with MAX_LANGUAGES checked
 
+    @frugal
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
