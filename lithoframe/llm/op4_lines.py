@@ -7,8 +7,9 @@ inserted or removed elsewhere. (Boundaries that are chosen by a hash's value alo
 whole, as two boundaries must fall into each.) Chunks have two lines or more; single repeated lines stay.
 
 Rolling hashes are counted without texts. Texts are shuffled by id to get the bytes of the lines whose hash occurs again,
-and to rewrite. Equal bytes decide, so colliding hashes do no harm: the first occurrence of two lines (by id, text hash,
-line number) stays, the others go. The earliest occurrence of every line is in no chunk that goes, so no line is lost from
+and to rewrite; both are merge joins at every size, as what they meet grows with the corpus. Two lines are named by two
+64-bit rolling hashes. The first occurrence (by id, text hash, line number) stays, and another one goes only if its bytes
+are those of the first. The earliest occurrence of every line is in no chunk that goes, so no line is lost from
 the corpus. All of it is DataFrame operations. Counts and first places combine on the map side, and joins by key are inner
 joins of many rows against one row for each key, so a key that a third of all rows share can be split over tasks.
 
@@ -35,9 +36,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _rolling(lines: Column) -> Column:
-    """One hash for each two neighbouring lines, from the hashes of the lines; null for two empty ones."""
-    both = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), lambda x, y: F.when((x != F.xxhash64(F.lit(""))) | (y != F.xxhash64(F.lit(""))), F.xxhash64(x, y)))
-    return _let(F.transform(lines, lambda x: F.xxhash64(x)), both)
+    """Two hashes for each two neighbouring lines, from two hashes of the lines; null for two empty ones."""
+    empty = F.xxhash64(F.lit(""))
+    pair = lambda x, y: F.when((x["a"] != empty) | (y["a"] != empty), F.struct(F.xxhash64(x["a"], y["a"]).alias("key"), F.xxhash64(x["b"], y["b"]).alias("check")))
+    both = lambda h: F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h) - 1), pair)
+    return _let(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))), both)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -46,22 +49,25 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = {"_lf_id": F.col(id_col).cast("string"), "_lf_h": F.xxhash64(text_col)}
     lines = F.split(text_col, "\n", -1)
     small = docs.select(F.col(id_col), F.col(text_col)).withColumns(names).where(F.instr(text_col, "\n") > 0)
-    each = cut(small.select("_lf_id", "_lf_h", F.posexplode(_rolling(lines)).alias("no", "key")).where("key is not null"), "line-pairs")
-    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    by_doc = each.join(often, "key").groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set(F.struct("no", "key")).alias("_lf_again"))
+    each = small.select("_lf_id", "_lf_h", F.posexplode(_rolling(lines)).alias("no", "k")).where("k is not null")
+    each = cut(each.select("_lf_id", "_lf_h", "no", "k.*"), "line-pairs")
+    place = F.struct("_lf_id", "_lf_h", "no")
+    first = each.groupBy("key", "check").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = each.join(first, ["key", "check"]).withColumn("first", place.eqNullSafe(F.col("at")))
+    by_doc = again.groupBy(F.col("_lf_id").alias("gid"), F.col("_lf_h").alias("gh")).agg(F.collect_set(F.struct("no", "key", "check", "first")).alias("_lf_again"))
     same_doc = F.col("_lf_id").eqNullSafe(F.col("gid")) & F.col("_lf_h").eqNullSafe(F.col("gh"))
     plain = docs.select(*keep).withColumns(names)
     # bytes of those lines that have an equal rolling hash somewhere, and of no others; repeated rows come more than once
-    two = lambda own: F.transform("_lf_again", lambda r: F.struct(r["no"].alias("no"), r["key"].alias("key"), F.concat_ws("\n", F.element_at(own, r["no"] + 1), F.element_at(own, r["no"] + 2)).alias("chunk")))
-    held = plain.join(by_doc, same_doc).select("gid", "gh", F.explode(_let(lines, two)).alias("x"))
-    held = cut(held.select("gid", "gh", "x.*"), "line-repeats")
+    two = lambda own: F.transform("_lf_again", lambda r: F.struct(r.alias("r"), F.concat_ws("\n", F.element_at(own, r["no"] + 1), F.element_at(own, r["no"] + 2)).alias("chunk")))
+    held = plain.join(by_doc.hint("merge"), same_doc).select("gid", "gh", F.explode(_let(lines, two)).alias("x"))
+    held = cut(held.select("gid", "gh", "x.r.*", "x.chunk"), "line-repeats")
     drop(each)
-    first = held.groupBy(F.col("key").alias("k"), F.col("chunk").alias("original")).agg(F.min(F.struct("gid", "gh", "no")).alias("at"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = held.join(first, (F.col("key") == F.col("k")) & (F.col("chunk") == F.col("original"))).where(~F.struct("gid", "gh", "no").eqNullSafe(F.col("at")))
+    originals = held.where("first").groupBy("key", "check").agg(F.min("chunk").alias("original"))
+    gone = held.where("not first").join(originals, ["key", "check"]).where(F.col("chunk") == F.col("original"))
     gone = cut(gone.groupBy("gid", "gh").agg(F.collect_set("no").alias("_lf_gone")), "line-gone")
     drop(held)
     after = F.transform("_lf_gone", lambda i: i + 1)
-    joined = plain.join(gone, same_doc, "left").drop("_lf_id", "_lf_h", "gid", "gh")
+    joined = plain.join(gone.hint("merge"), same_doc, "left").drop("_lf_id", "_lf_h", "gid", "gh")
     left = lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.array_union("_lf_gone", after)), lambda i: F.element_at(own, i + 1))
     count = F.char_length(text_col) - F.char_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
     some = lambda value: F.coalesce(F.when(F.col("_lf_gone").isNotNull(), value), F.lit(0)).cast("long")
