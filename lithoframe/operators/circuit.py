@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ def dirichlet(edges: DataFrame, diag: DataFrame, sink: tuple[int, int]) -> DataF
     return off.where(~at_sink("r1", "c1")).unionByName(on)
 
 
-def solve(n: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, current: np.ndarray, sink: int, tol: float = 1e-10, most: int = 20_000) -> np.ndarray:
+def solve(n: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, current: np.ndarray, sink: int, tol: float = 1e-10) -> np.ndarray:
     """Potentials with the sink at 0 by Jacobi-preconditioned conjugate gradients; current into parts that the sink isn't connected to is dropped."""
     label = np.arange(n)
     while True:
@@ -74,9 +75,11 @@ def solve(n: int, a: np.ndarray, b: np.ndarray, g: np.ndarray, current: np.ndarr
     x, r = np.zeros(n), np.where(live, current, 0.0)
     z = r / diag
     p, rz, goal = z.copy(), float(r @ z), tol * max(float(np.linalg.norm(r)), 1e-300)
-    for _ in range(most):
-        if np.linalg.norm(r) <= goal:
-            break
+    best, stalled = np.inf, 0
+    while (now := float(np.linalg.norm(r))) > goal:
+        best, stalled = (now, 0) if now < best else (best, stalled + 1)
+        if stalled > n + 1000:  # more steps than there are unknowns without any gain
+            raise ArithmeticError(f"potentials don't converge: residual {now:.3g} of {goal:.3g}")
         q = apply(p)
         step = rz / float(p @ q)
         x += step * p
@@ -135,8 +138,8 @@ def scaled(density: DataFrame) -> DataFrame:
 
 
 def pair_sample(cells: list[tuple[int, int]], most: int = C.MAX_PAIRS) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """Pairs of distinct cells, all or the first of a fixed integer hash's order."""
+    """Pairs of distinct cells, all or the first of a fixed integer hash's order; what is held follows the cells, not their pairs."""
     cells = sorted(set(cells))
-    pairs = [(i, j) for i in range(len(cells)) for j in range(i + 1, len(cells))]
-    pairs.sort(key=lambda p: ((p[0] * 40_503 + p[1] * 2_654_435_761 + 42) % 4_294_967_296, p))
-    return [(cells[i], cells[j]) for i, j in pairs[:most]]
+    rank = lambda i, j: (i * 40_503 + j * 2_654_435_761 + 42) % 4_294_967_296
+    pairs = heapq.nsmallest(most, ((rank(i, j), i, j) for i in range(len(cells)) for j in range(i + 1, len(cells))))
+    return [(cells[i], cells[j]) for _, i, j in pairs]

@@ -14,7 +14,7 @@ from pyspark.sql import window as W
 
 from .. import constants as C
 from ..functions.scalars import num
-from ..session import cut
+from ..session import cut, drop
 from .components import components
 
 SITE, CELL = 400.0, 4.0
@@ -89,11 +89,12 @@ def downsample_scale(cells: int, most: int = C.MAX_CELLS) -> float:
 
 
 def downsample(cells: DataFrame, rows: int, cols: int, scale: float) -> tuple[DataFrame, int, int]:
-    """Nearest-cell grid of scale times the size: new cells take the cell that their index points back to."""
-    h, w = max(1, int(rows * scale)), max(1, int(cols * scale))
+    """Nearest-cell grid of scale times the size, rounded: new cells take the cell that their index points back to."""
+    h, w = max(1, round(rows * scale)), max(1, round(cols * scale))
     for axis, n, m in (("row_id", rows, h), ("col_id", cols, w)):
         ratio, here = num(n / m), F.col(axis)
-        back = F.filter(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.floor(i * ratio) == here)  # noqa: B023  it is called at once
+        near = F.sequence(F.floor(here / ratio), F.ceil((here + 1) / ratio))  # the few indices that can point back here
+        back = F.filter(near, lambda i: (i < F.lit(m)) & (F.floor(i * ratio) == here))  # noqa: B023  it is called at once
         cells = cells.withColumn("_to", F.explode(back)).withColumn(axis, F.col("_to").cast("int")).drop("_to")
     return cells, h, w
 
@@ -240,12 +241,12 @@ def remove_small(cells: DataFrame, least: int = C.OBJECT_MIN, offsets: list[tupl
     return named.join(big, "comp", "left_semi").select("row_id", "col_id")
 
 
-def skeletonize(cells: DataFrame, most: int = 200) -> DataFrame:
+def skeletonize(cells: DataFrame) -> DataFrame:
     """Thin to lines of one cell: two alternating passes (Zhang and Suen 1984) until nothing goes."""
     ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]  # p2..p9, clockwise from the north
     live = cut(cells.select("row_id", "col_id").distinct(), "thin")
     size = live.count()
-    for _ in range(most):
+    while True:  # every round takes a cell or ends
         for step in (0, 1):
             bits = gather(live.withColumn("_one", num(1)), "_one", {o: float(1 << k) for k, o in enumerate(ring)}, "_m")
             p = [F.col("_b").bitwiseAND(F.lit(1 << k)) != 0 for k in range(8)]
@@ -254,12 +255,12 @@ def skeletonize(cells: DataFrame, most: int = 200) -> DataFrame:
             turns = sum((F.when(~p[k] & p[(k + 1) % 8], 1).otherwise(0) for k in range(8)), F.lit(0))
             n, e, s, w = p[0], p[2], p[4], p[6]
             open_ = ~(n & e & s) & ~(e & s & w) if step == 0 else ~(n & e & w) & ~(n & s & w)
-            live = cut(bits.where(~(count.between(2, 6) & (turns == 1) & open_)).select("row_id", "col_id"), "thin")
+            before, live = live, cut(bits.where(~(count.between(2, 6) & (turns == 1) & open_)).select("row_id", "col_id"), "thin")
+            drop(before)
         now = live.count()
         if now == size:
             return live
         size = now
-    return live
 
 
 def first_valid(tiles: DataFrame, value: str, order: str) -> DataFrame:

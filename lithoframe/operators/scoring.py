@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .. import constants as C
 from ..functions.geometry import distance
 from ..functions.scalars import confidence, num, over_max
+from ..session import cut
 from .raster import cell_of
 from .spatial_join import segment_pairs
 
@@ -45,22 +45,36 @@ def at_centre(lines: DataFrame, key: str, layer: DataFrame, value: str) -> DataF
 
 def network_scores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """df with <part>_norm over each column's maximum, arch_score and confidence; columns maps the weights' parts to columns."""
-    every = W.Window.partitionBy()
-    df = df.withColumns({f"{part}_norm": over_max(F.col(col), F.max(col).over(every)) for part, col in columns.items()})
+    most = df.agg(*[F.max(col).alias(f"_most_{part}") for part, col in columns.items()])  # one row
+    df = df.join(F.broadcast(most)).withColumns({f"{part}_norm": over_max(F.col(col), F.col(f"_most_{part}")) for part, col in columns.items()}).drop(*most.columns)
     score = sum((num(w) * F.col(f"{part}_norm") for part, w in C.SCORE_WEIGHTS.items()), num(0))
     return df.withColumn("arch_score", score).withColumn("confidence", confidence(F.col("arch_score")))
 
 
+def nearest_line(segments: DataFrame, network: DataFrame, key: str, reach: float = 1000.0) -> DataFrame:
+    """(key, _d): the distance to the nearest line of the network; the search radius grows until all segments have one."""
+    lines, found, left = network.withColumnRenamed("line_id", "_line"), None, cut(segments, "segments")
+    while not left.isEmpty() and not lines.isEmpty():
+        near = cut(segment_pairs(left, key, lines, "_line", reach, reach / 5).groupBy(key).agg(F.min("dist").alias("_d")), "nearest")
+        found = near if found is None else found.unionByName(near)
+        left, reach = cut(left.where(F.col(key).isNotNull()).join(near, key, "left_anti"), "segments"), 4 * reach
+    return segments.select(key, F.lit(None).cast("double").alias("_d")).limit(0) if found is None else found
+
+
 def discoveries(segments: DataFrame, network: DataFrame, key: str, layers: DataFrame, signal: str, stability: str, reach: float = 1000.0) -> DataFrame:
-    """Segments far from the network that are long and show a signal, ranked by score of their rounded figures."""
-    near = segment_pairs(segments, key, network.withColumnRenamed("line_id", "_line"), "_line", reach, 200.0).groupBy(key).agg(F.min("dist").alias("_d"))
+    """Segments far from the network that are long and show a signal, ranked by score of their rounded figures (half to even).
+
+    Without a network every such segment is far from it, and its distance is null.
+    """
+    near = nearest_line(segments, network, key, reach)
     told = along_lines(segments, key, layers, [signal, stability])
     df = segments.withColumn("_len", line_length()).join(near, key, "left").join(told, key)
-    keep = (F.col("_len") >= C.DISCOVERY_LENGTH) & (F.col(signal) >= C.DISCOVERY_SIGNAL) & (F.coalesce("_d", num(reach)) > C.DISCOVERY_DIST)
-    df = df.where(keep).select(key, F.round("_len", 1).alias("seg_length_m"), F.round("_d", 1).alias("dist_to_net_m"), F.round(signal, 4).alias("spec_signal"), F.round(stability, 4).alias("stability_mean"))
-    most = F.max("seg_length_m").over(W.Window.partitionBy())
+    keep = (F.col("_len") >= C.DISCOVERY_LENGTH) & (F.col(signal) >= C.DISCOVERY_SIGNAL) & F.coalesce(F.col("_d") > C.DISCOVERY_DIST, F.lit(True))
+    df = df.where(keep).select(key, F.bround("_len", 1).alias("seg_length_m"), F.bround("_d", 1).alias("dist_to_net_m"), F.bround(signal, 4).alias("spec_signal"), F.bround(stability, 4).alias("stability_mean"))
+    most = df.agg(F.max("seg_length_m").alias("_most"))  # one row
     spec, stab, length = C.DISCOVERY_WEIGHTS
-    return df.withColumn("discovery_score", num(spec) * F.col("spec_signal") + num(stab) * F.col("stability_mean") + num(length) * F.col("seg_length_m") / (most + num(1e-9)))
+    score = num(spec) * F.col("spec_signal") + num(stab) * F.col("stability_mean") + num(length) * F.col("seg_length_m") / (F.col("_most") + num(1e-9))
+    return df.join(F.broadcast(most)).withColumn("discovery_score", score).drop("_most")
 
 
 def agrees_with_lines(segments: DataFrame, key: str, lines: DataFrame, radius: float = C.AGREE_DIST) -> DataFrame:

@@ -114,7 +114,8 @@ def export_texts(fx):
 
 @query("col_over_max", "SELECT door_id, round(greatest(0, least(1, x/(SELECT max(x) FROM fx_doors))),6)+0 AS share FROM fx_doors")
 def col_over_max(fx):
-    return fx.doors.select("door_id", r6(F.greatest(num(0), F.least(num(1), F.col("x") / F.max("x").over(W.Window.partitionBy())))).alias("share"))
+    most = fx.doors.agg(F.max("x").alias("most"))  # one row
+    return fx.doors.join(F.broadcast(most)).select("door_id", r6(F.greatest(num(0), F.least(num(1), F.col("x") / F.col("most")))).alias("share"))
 
 
 @query("running_ratio", "SELECT chapel_id, n, round(sum(n) OVER (ORDER BY n DESC, chapel_id)/(SELECT count(*) FROM fx_sheet)::DOUBLE,6)+0 AS running FROM (SELECT chapel_id, count(*) AS n FROM fx_sheet GROUP BY chapel_id)")
@@ -125,7 +126,8 @@ def running_ratio(fx):
 
 @query("ranked_candidates", "SELECT row_number() OVER (ORDER BY x DESC, door_id) AS rank, door_id FROM fx_doors QUALIFY rank <= 30")
 def ranked_candidates(fx):
-    return fx.doors.select(F.row_number().over(W.Window.orderBy(F.desc("x"), "door_id")).cast("long").alias("rank"), "door_id").where("rank <= 30")
+    first = fx.doors.orderBy(F.desc("x"), "door_id").limit(30)  # each task keeps 30, and only these are ranked
+    return first.select(F.row_number().over(W.Window.orderBy(F.desc("x"), "door_id")).cast("long").alias("rank"), "door_id")
 
 
 @query("union_layers", "SELECT 'door' AS layer, CAST(door_id AS BIGINT) AS id, x, y FROM fx_doors UNION ALL SELECT 'footprint', shp_idx, cx, cy FROM fx_footprints UNION ALL SELECT 'label', CAST(label AS BIGINT), x, y FROM fx_labels")

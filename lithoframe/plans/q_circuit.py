@@ -50,7 +50,7 @@ def _door_cells(fx, cost):
     doors = fx.doors.select("door_id", "chapel_id", row.alias("row_id"), col.alias("col_id"))
     free = cost.where("cost < 1e8").select("row_id", "col_id")
     placed = R.snap(doors, "door_id", free, R.scan_offsets()).join(cost.select("row_id", "col_id"), ["row_id", "col_id"], "left_semi")
-    return [(r.door_id, r.chapel_id, (r.row_id, r.col_id)) for r in placed.orderBy("door_id").limit(10_000).collect()]
+    return [(r.door_id, r.chapel_id, (r.row_id, r.col_id)) for r in placed.orderBy("door_id").toLocalIterator()]
 
 
 def _cost_window(fx):
@@ -60,12 +60,14 @@ def _cost_window(fx):
 
 @query("circuit_supernode")
 def circuit_supernode(fx):
-    """1 A at every door but the sink, which is chapel 180 or else the door in the middle of the order."""
+    """1 A at every door but the sink, which is chapel 180 or else the door nearest the mean of all (the first of equals)."""
     cost = _cost_window(fx)
     doors = _door_cells(fx, cost)
     if not doors:
         return cost.select("row_id", "col_id", num(0).alias("current"))
-    sink = next((p for _, chapel, p in doors if chapel == "180"), doors[len(doors) // 2][2])
+    mean = [sum(p[k] for _, _, p in doors) / len(doors) for k in (0, 1)]
+    nearest = min((p for _, _, p in doors), key=lambda p: (p[0] - mean[0]) ** 2 + (p[1] - mean[1]) ** 2)
+    sink = next((p for _, chapel, p in doors if chapel == "180"), nearest)
     return K.scaled(K.currents(cost, [([p for _, _, p in doors], sink)]))
 
 

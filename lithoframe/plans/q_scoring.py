@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .. import constants as C
 from ..functions.scalars import clip, num, r6
@@ -16,7 +15,7 @@ from ..operators import spectral as P
 from ..operators.vectorise import skeleton_to_lines
 from . import q_circuit, q_network, q_raster
 from .q_geometry import SEGDIST, network_lines
-from .q_raster import _DDA
+from .q_raster import _DDA, extent
 from .q_spectral import _IDX, _RAD, _n01
 from .registry import query
 
@@ -76,11 +75,12 @@ def network_scores(fx):
 @query("max_norm", _DDA, "SELECT row_id, col_id, round(count(*)/(max(count(*)) OVER ())::DOUBLE,6)+0 AS v FROM dda GROUP BY row_id, col_id")
 def max_norm(fx):
     d = R.line_cells(fx.lines, "line_id").groupBy("row_id", "col_id").agg(F.count("*").alias("n"))
-    return d.select("row_id", "col_id", r6(c("n") / F.max("n").over(W.Window.partitionBy())).alias("v"))
+    most = d.agg(F.max("n").alias("most"))  # one row
+    return d.join(F.broadcast(most)).select("row_id", "col_id", r6(c("n") / c("most")).alias("v"))
 
 
 _NEAR = "nst AS (SELECT skel, min(dist) AS d FROM sd GROUP BY skel)"
-_DISC = "dsc AS (SELECT n.line_id, round(n.len,1) AS len, round(d,1) AS d, round(signal,4) AS sig, round(stability,4) AS stab FROM smp_n n JOIN alg USING (line_id) JOIN nst ON nst.skel = n.line_id WHERE n.len >= 25 AND signal >= 0.35 AND d > 15)"
+_DISC = "dsc AS (SELECT n.line_id, round_even(n.len,1) AS len, round_even(d,1) AS d, round_even(signal,4) AS sig, round_even(stability,4) AS stab FROM smp_n n JOIN alg USING (line_id) JOIN nst ON nst.skel = n.line_id WHERE n.len >= 25 AND signal >= 0.35 AND d > 15)"
 
 
 @query("discovery", LAYERS, _samples("fx_skeleton", "smp"), _ALONG, SEGDIST.replace("% 10 = 3", "% 60 = 3"), _NEAR, _DISC, "SELECT line_id, len AS seg_length_m, d AS dist_to_net_m, round(0.5*sig+0.3*stab+0.2*len/((SELECT max(len) FROM dsc)+1e-9),5)+0 AS discovery_score FROM dsc")
@@ -112,37 +112,37 @@ _K15 = "k15 AS (SELECT * FROM (VALUES " + ",".join(f"({k - 6},{w!r}::DOUBLE)" fo
 _M = lambda i, n: f"CASE WHEN {i} < 0 THEN -{i}-1 WHEN {i} >= {n} THEN 2*{n}-1-({i}) ELSE {i} END"
 
 
-@query("stability_proxy", _RAD, _IDX, "i20 AS (SELECT * FROM idx WHERE row_id < 20)", f"b01 AS (SELECT row_id, col_id, CASE WHEN label IN (3,6) AND coastal IS NOT NULL THEN 1 - {_n01('bsi', 'i20')} ELSE 0 END AS z FROM i20)", _K15, f"s1 AS (SELECT a.row_id, a.col_id, sum(z.z*w) AS z FROM b01 a, k15, b01 z WHERE z.col_id = a.col_id AND z.row_id = {_M('(a.row_id+k)', 20)} GROUP BY 1, 2), s2 AS (SELECT a.row_id, a.col_id, sum(z.z*w) AS z FROM s1 a, k15, s1 z WHERE z.row_id = a.row_id AND z.col_id = {_M('(a.col_id+k)', 25)} GROUP BY 1, 2)", f"SELECT row_id, col_id, round({_n01('z', 's2')},5)+0 AS stability FROM s2")
+@query("stability_proxy", _RAD, _IDX, "dim AS (SELECT max(row_id) + 1 AS nr, max(col_id) + 1 AS nq FROM idx)", f"b01 AS (SELECT row_id, col_id, CASE WHEN label IN (3,6) AND coastal IS NOT NULL THEN 1 - {_n01('bsi', 'idx')} ELSE 0 END AS z FROM idx)", _K15, f"s1 AS (SELECT a.row_id, a.col_id, sum(z.z*w) AS z FROM b01 a, k15, dim, b01 z WHERE z.col_id = a.col_id AND z.row_id = {_M('(a.row_id+k)', 'nr')} GROUP BY 1, 2), s2 AS (SELECT a.row_id, a.col_id, sum(z.z*w) AS z FROM s1 a, k15, dim, s1 z WHERE z.row_id = a.row_id AND z.col_id = {_M('(a.col_id+k)', 'nq')} GROUP BY 1, 2)", f"SELECT row_id, col_id, round({_n01('z', 's2')},5)+0 AS stability FROM s2")
 def stability_proxy(fx):
     return _stability(fx).select("row_id", "col_id", r6(c("stability"), 5).alias("stability"))
 
 
 def _stability(fx):
-    """Path classes times what isn't bare, smoothed and scaled, over the first 20 rows of pixels."""
-    df = P.norm01(P.with_indices(P.radiance(fx.pixels.where("row_id < 20"))), "bsi", "bsi01")
+    """Path classes times what isn't bare, smoothed and scaled."""
+    df = P.norm01(P.with_indices(P.radiance(fx.pixels)), "bsi", "bsi01")
     df = df.withColumn("z", F.when(c("label").isin(3, 6) & c("coastal").isNotNull(), num(1) - c("bsi01")).otherwise(num(0)))
-    return P.norm01(R.gaussian(df, "z", 1.5, 20, 25), "z", "stability")
+    return P.norm01(R.gaussian(df, "z", 1.5, *extent(fx.pixels)), "z", "stability")
 
 
 @query("path_signal")
 def path_signal(fx):
-    """Gabor, material, coherence and stability of the first 20 rows, weighted, smoothed and scaled."""
-    df = P.material_score(P.with_indices(P.radiance(fx.pixels.where("row_id < 20"))))
+    """Gabor, material, coherence and stability, weighted, smoothed and scaled."""
+    df, size = P.material_score(P.with_indices(P.radiance(fx.pixels))), extent(fx.pixels)
     parts = [
         P.norm01(R.gabor(df, "red", {0.40: 1.0}), "gabor", "g01").select("row_id", "col_id", c("g01").alias("gabor")),
-        P.norm01(R.coherence(df, "red", 2.0, 20, 25), "coherence", "c01").select("row_id", "col_id", c("c01").alias("coherence")), _stability(fx).select("row_id", "col_id", "stability"),
+        P.norm01(R.coherence(df, "red", 2.0, *size), "coherence", "c01").select("row_id", "col_id", c("c01").alias("coherence")), _stability(fx).select("row_id", "col_id", "stability"),
     ]
     out = df.select("row_id", "col_id", "material")
     for p in parts:
         out = out.join(p, ["row_id", "col_id"], "left")
-    return P.norm01(R.gaussian(out.withColumn("s", P.path_signal(out)), "s", 1.0, 20, 25), "s", "signal").select("row_id", "col_id", "signal")
+    return P.norm01(R.gaussian(out.withColumn("s", P.path_signal(out)), "s", 1.0, *size), "s", "signal").select("row_id", "col_id", "signal")
 
 
 @query("signal_skeleton")
 def signal_skeleton(fx):
     """Cells of a strong signal, small objects removed, thinned and traced to lines."""
-    cells = layers(fx).where((c("signal") >= C.SIGNAL_MIN) & (c("row_id") < 10)).select("row_id", "col_id")
-    return skeleton_to_lines(R.skeletonize(R.remove_small(cells, 20)), C.SEGMENT_MIN // 2)
+    cells = layers(fx).where(c("signal") >= C.SIGNAL_MIN).select("row_id", "col_id")
+    return skeleton_to_lines(R.skeletonize(R.remove_small(cells)), C.SEGMENT_MIN // 2)
 
 
 # ---- pipelines

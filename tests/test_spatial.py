@@ -47,6 +47,33 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() >= 0
 
 
+def test_small_components_of_the_whole_grid(spark):
+    """Against a flood fill."""
+    cells = {(r.row_id, r.col_id) for r in Fixtures(spark, SF).dem.where("elev > 70.5").collect()}
+    want, left = set(), set(cells)
+    while left:
+        group, todo = set(), [left.pop()]
+        while todo:
+            x = todo.pop()
+            group.add(x)
+            near = {(x[0] + i, x[1] + j) for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))} & left
+            left -= near
+            todo += near
+        want |= group if len(group) >= 6 else set()
+    got = [tuple(r) for r in catalog.queries()["small_components"](spark, SF).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_nearest_line_beyond_the_first_radius(spark):
+    """The search grows until every segment has its distance; without a network there is none."""
+    line = lambda k, x: (k, float(x), 0.0, float(x), 10.0)
+    schema = "line_id int, x1 double, y1 double, x2 double, y2 double"
+    segments = spark.createDataFrame([line(k, 10**k) for k in range(5)], schema)
+    got = {r.line_id: r._d for r in scoring.nearest_line(segments, spark.createDataFrame([line(9, 0)], schema), "line_id", 20.0).collect()}
+    assert {k: round(d) for k, d in got.items()} == {k: 10**k for k in range(5)}
+    assert scoring.nearest_line(segments, segments.limit(0), "line_id").count() == 0
+
+
 def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
