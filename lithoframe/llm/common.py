@@ -51,10 +51,10 @@ def frugal(run: Callable) -> Callable:
     return wrapped
 
 
-def text_views(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_views(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column without copies: first row, end row, the bytes, and each row's offsets in them.
 
-    Null rows come out empty. Every slice holds whole rows, and about SLICE_BYTES at most unless one row is longer.
+    Null rows come out empty. Every slice holds whole rows, and `most` bytes at most unless one row is longer.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -70,7 +70,7 @@ def text_views(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, n
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        end = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1
         end = min(n, max(end, first + 1))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end

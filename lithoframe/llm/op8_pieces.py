@@ -3,7 +3,7 @@
 The model's protobuf is read field by field; from it come the normaliser (character map, marker before the text, blanks as
 markers), the piece model (unigram with scores, or BPE with merges in the order of scores) and byte fallback. As no piece
 of such a model has a marker after another character, a text falls apart before blanks without changing its ids, so each
-distinct part of a batch is encoded once, all parts in one multithreaded call, and kept for later batches of the task.
+distinct part is encoded once, those of TEXT_AT_ONCE bytes of texts in one multithreaded call, and kept for the rest of the task.
 With verify, every part is also encoded by the sentencepiece library, and the row says whether the two agree; the ids are
 always those of the tokenizers library. Decoding is a table of bytes for each id.
 
@@ -28,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, small_batches, table
+from .common import frugal, small_batches, table, text_views
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 KEEP_PARTS, KEEP_CHARS, GROUP = 200_000, 4_000_000, 256
 MAX_MODEL_BYTES = 64 << 20
-ROWS_AT_ONCE = 1024
+TEXT_AT_ONCE = 1 << 19  # bytes of texts that are taken apart at once; a longer text is taken alone
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -283,8 +283,8 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
 
     def coded(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
-                texts = [t or "" for t in batch.column(1).slice(k, ROWS_AT_ONCE).to_pylist()]
+            for first, end, _, _ in text_views(batch.column(1), TEXT_AT_ONCE):
+                texts = [t or "" for t in batch.column(1).slice(first, end - first).to_pylist()]
                 ids, n, same = encoder.encode(texts)
                 edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
                 data, size = encoder.decode_flat(ids)
@@ -293,7 +293,7 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
                 prefix = b" " if encoder.spec.dummy_prefix else b""
                 back = [data[a:b] == (prefix + t.replace(MARK, " ").encode() if t else b"") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids, pa.int32()))  # a batch has fewer than 2^31 bytes
-                yield pa.record_batch({"doc_id": batch.column(0).slice(k, ROWS_AT_ONCE), "ids": lists, "n_tokens": pa.array(n.astype(np.int64)), "parity": pa.array(same), "round_trip": pa.array(back)})
+                yield pa.record_batch({"doc_id": batch.column(0).slice(first, end - first), "ids": lists, "n_tokens": pa.array(n.astype(np.int64)), "parity": pa.array(same), "round_trip": pa.array(back)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, parity boolean, round_trip boolean")
