@@ -43,6 +43,7 @@ CLASS_DEFAULT = "desert_sand"
 SCORE_WEIGHTS = {"spec": 0.40, "stab": 0.15, "betw": 0.25, "circ": 0.20}
 CONFIDENCE_HIGH, CONFIDENCE_MODERATE = 0.60, 0.40
 DISCOVERY_DIST, DISCOVERY_LENGTH, DISCOVERY_SIGNAL = 15.0, 25.0, 0.35
+SKELETON_WEIGHTS = (0.70, 0.30)
 DISCOVERY_WEIGHTS = (0.50, 0.30, 0.20)
 AGREE_DIST, AGREE_SHARE = 12.0, 0.60
 SAMPLE_STEP = 2.0

@@ -62,7 +62,12 @@ def line_centroid(points: Column) -> tuple[Column, Column]:
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Ray casting; points on the boundary fall to the lower and left sides."""
-    crosses = F.filter(edges_of(ring), lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], num(0)) * (e["x2"] - e["x1"])))
+    return in_edges(x, y, edges_of(ring))
+
+
+def in_edges(x: Column, y: Column, edges: Column) -> Column:
+    """As in_ring, from the ring's edges."""
+    crosses = F.filter(edges, lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (x < e["x1"] + (y - e["y1"]) / F.nullif(e["y2"] - e["y1"], num(0)) * (e["x2"] - e["x1"])))
     return F.size(crosses) % 2 == 1
 
 
@@ -113,6 +118,36 @@ def box_span(seg: tuple[Column, ...], box: tuple[Column, ...]) -> tuple[Column,
     return F.greatest(num(0), xs[0], ys[0]), F.least(num(1), xs[1], ys[1])
 
 
+def within(x: Column, y: Column, edges: Column, tol: float = 1e-9) -> Column:
+    """Whether a point is inside a ring, given by its edges, and not on one."""
+    return in_edges(x, y, edges) & ~F.exists(edges, lambda e: point_segment(x, y, e["x1"], e["y1"], e["x2"], e["y2"]) < tol)
+
+
+def ring_spans(seg: tuple[Column, ...], edges: Column, tol: float = 1e-9) -> Column:
+    """array<struct<t0, t1>>: shares of a segment inside an open ring of any shape, given by its edges.
+
+    The segment is cut where it meets edges, and a stretch counts if its middle is inside and no edge runs along it.
+    """
+    x1, y1, x2, y2 = seg
+
+    def meeting(e):
+        d = (x2 - x1) * (e["y2"] - e["y1"]) - (y2 - y1) * (e["x2"] - e["x1"])
+        safe = F.nullif(d, num(0))
+        t = ((e["x1"] - x1) * (e["y2"] - e["y1"]) - (e["y1"] - y1) * (e["x2"] - e["x1"])) / safe
+        u = ((e["x1"] - x1) * (y2 - y1) - (e["y1"] - y1) * (x2 - x1)) / safe
+        return F.when(u.between(-tol, 1 + tol) & (t > 0) & (t < 1), t)
+
+    met = F.filter(F.transform(edges, meeting), lambda t: t.isNotNull())
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(num(0), num(1)), met)))
+    spans = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: F.struct(a.alias("t0"), b.alias("t1")))
+
+    def inside(s):
+        t = (s["t0"] + s["t1"]) / num(2)
+        return (s["t1"] - s["t0"] > tol) & within(x1 + t * (x2 - x1), y1 + t * (y2 - y1), edges, tol)
+
+    return F.filter(spans, inside)
+
+
 def best_wall(ring: Column, code: Column) -> Column:
     """struct<score, idx, mx, my, nx, ny, edge_len> of the ring's edge whose midpoint lies most in the direction of code from the centroid.
 

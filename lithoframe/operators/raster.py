@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .. import constants as C
+from ..functions.geometry import edges_of, within
 from ..functions.scalars import num
 from ..session import cut, drop
 from .components import components
+from .spatial_join import ring_bounds
 
 SITE, CELL = 400.0, 4.0
 
@@ -49,14 +51,20 @@ def hillshade(cells: DataFrame, value: str, azimuth: float = 315, altitude: floa
     return df.withColumn("shade", F.greatest(num(0), F.least(num(1), shade))).drop("_z", "dx", "dy")
 
 
-def box_cells(boxes: DataFrame, site: float = SITE, size: float = CELL) -> DataFrame:
-    """(shp_idx, row_id, col_id) of cells whose centre is inside a box (xmin, ymin, xmax, ymax)."""
+def box_cells(boxes: DataFrame, site: float = SITE, size: float = CELL, keep: list[str] | None = None) -> DataFrame:
+    """(shp_idx, row_id, col_id, keep) of cells whose centre is inside a box (xmin, ymin, xmax, ymax)."""
     row = lambda y: (num(site) - y) / num(size) - num(0.5)
     col = lambda x: x / num(size) - num(0.5)
     run = lambda lo, hi: F.when(F.floor(lo) + 1 <= F.ceil(hi) - 1, F.sequence(F.floor(lo) + 1, F.ceil(hi) - 1))
     df = boxes.withColumn("col_id", F.explode(run(col(F.col("xmin")), col(F.col("xmax")))))
     df = df.withColumn("row_id", F.explode(run(row(F.col("ymax")), row(F.col("ymin")))))
-    return df.select("shp_idx", F.col("row_id").cast("int").alias("row_id"), F.col("col_id").cast("int").alias("col_id"))
+    return df.select("shp_idx", F.col("row_id").cast("int").alias("row_id"), F.col("col_id").cast("int").alias("col_id"), *(keep or []))
+
+
+def ring_cells(polygons: DataFrame, site: float = SITE, size: float = CELL) -> DataFrame:
+    """(shp_idx, row_id, col_id) of cells whose centre is inside a ring of any shape (shp_idx, ring), as with boxes not on its edge."""
+    near = box_cells(ring_bounds(polygons.select("shp_idx", "ring")).withColumn("_e", edges_of(F.col("ring"))).drop("ring"), site, size, ["_e"])
+    return near.where(within(*centre_of(F.col("row_id"), F.col("col_id"), site, size), F.col("_e"))).drop("_e")
 
 
 def line_cells(lines: DataFrame, key: str, site: float = SITE, size: float = CELL) -> DataFrame:

@@ -51,6 +51,12 @@ def network_scores(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumn("arch_score", score).withColumn("confidence", confidence(F.col("arch_score")))
 
 
+def skeleton_scores(lines: DataFrame, key: str, layers: DataFrame, signal: str, stability: str) -> DataFrame:
+    """(key, signal, stability, skel_score): means along each line, and their weighted sum rounded half to even."""
+    told, (spec, stab) = along_lines(lines, key, layers, [signal, stability]), C.SKELETON_WEIGHTS
+    return told.withColumn("skel_score", F.bround(num(spec) * F.col(signal) + num(stab) * F.col(stability), 4))
+
+
 def nearest_line(segments: DataFrame, network: DataFrame, key: str, reach: float = 1000.0) -> DataFrame:
     """(key, _d): the distance to the nearest line of the network; the search radius grows until all segments have one."""
     lines, found, left = network.withColumnRenamed("line_id", "_line"), None, cut(segments, "segments")

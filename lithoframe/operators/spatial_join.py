@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_span, distance, segment_distance
+from ..functions.geometry import box_span, distance, edges_of, ring_spans, segment_distance
 from ..functions.scalars import num
 
 
@@ -51,14 +51,40 @@ def box_meetings(segments: DataFrame, key: list[str], footprints: DataFrame, siz
     return met.select(*key, "shp_idx", "t0", "t1").dropDuplicates([*key, "shp_idx"])
 
 
+def ring_bounds(polygons: DataFrame) -> DataFrame:
+    """polygons(shp_idx, ring) with xmin, ymin, xmax and ymax."""
+    part = lambda k: F.transform("ring", lambda p: p[k])
+    return polygons.withColumns({"xmin": F.array_min(part("x")), "ymin": F.array_min(part("y")), "xmax": F.array_max(part("x")), "ymax": F.array_max(part("y"))})
+
+
+def ring_meetings(segments: DataFrame, key: list[str], polygons: DataFrame, size: float = 50.0) -> DataFrame:
+    """(key, shp_idx, t0, t1): the stretches of each segment(x1, y1, x2, y2) inside polygons(shp_idx, ring) of any shape.
+
+    A pair meets once, in the cell where both their boxes' lower left corners have been passed.
+    """
+    c = F.col
+    s = _spread(segments.select(*key, "x1", "y1", "x2", "y2"), c("x1"), c("y1"), c("x2"), c("y2"), size)
+    b = ring_bounds(polygons.select("shp_idx", "ring")).withColumn("_edges", edges_of(c("ring"))).drop("ring")
+    b = _spread(b, c("xmin"), c("ymin"), c("xmax"), c("ymax"), size)
+    first = (c("_i") == cell(F.greatest(F.least("x1", "x2"), "xmin"), size)) & (c("_j") == cell(F.greatest(F.least("y1", "y2"), "ymin"), size))
+    met = s.join(b, ["_i", "_j"]).where(first)
+    met = met.select(*key, "shp_idx", F.explode(ring_spans((c("x1"), c("y1"), c("x2"), c("y2")), c("_edges"))).alias("_s"))
+    return met.select(*key, "shp_idx", "_s.t0", "_s.t1")
+
+
+def meetings(segments: DataFrame, key: list[str], footprints: DataFrame, size: float = 50.0) -> DataFrame:
+    """ring_meetings of footprints with a ring, box_meetings of those with centres and half sizes."""
+    return (ring_meetings if "ring" in footprints.columns else box_meetings)(segments, key, footprints, size)
+
+
 def visible(segments: DataFrame, key: list[str], footprints: DataFrame, size: float = 50.0) -> DataFrame:
-    """Segments that enter no building; walls and corners may be touched."""
-    return segments.join(box_meetings(segments, key, footprints, size).select(*key).distinct(), key, "left_anti")
+    """Segments that enter no building, a box or a ring; walls and corners may be touched."""
+    return segments.join(meetings(segments, key, footprints, size).select(*key).distinct(), key, "left_anti")
 
 
 def covered_length(segments: DataFrame, key: list[str], footprints: DataFrame, size: float = 50.0) -> DataFrame:
     """Segments with crosses and the length within the union of buildings; overlapping stretches count once."""
-    spans = box_meetings(segments, key, footprints, size).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("_s"))
+    spans = meetings(segments, key, footprints, size).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("_s"))
     zero = F.struct(num(0).alias("end"), num(0).alias("sum"))
     merge = lambda acc, s: F.struct(F.greatest(acc["end"], s["t1"]).alias("end"), (acc["sum"] + F.greatest(num(0), s["t1"] - F.greatest(acc["end"], s["t0"]))).alias("sum"))
     spans = spans.withColumn("_share", F.aggregate("_s", zero, merge, lambda acc: acc["sum"])).drop("_s")

@@ -9,6 +9,7 @@ from ..functions import crs
 from ..functions import geometry as G
 from ..functions.scalars import num, r6
 from ..operators import hull as H
+from ..operators import raster as R
 from ..operators import spatial_join as J
 from .q_attributes import attributed
 from .q_network import BOX, PAIRS, span
@@ -149,6 +150,37 @@ def union_clip_length(fx):
     return J.covered_length(fx.lines, ["line_id"], fx.footprints).select("line_id", "crosses", r6(c("inside_len"), 5).alias("inside_len"))
 
 
+def diamonds(fx):
+    """Footprints turned by a quarter: rings whose sides follow no axis."""
+    ends = [G.point(c("cx") + num(i) * c("hw"), c("cy") + num(j) * c("hh")) for i, j in ((1, 0), (0, 1), (-1, 0), (0, -1), (1, 0))]
+    return fx.footprints.select("shp_idx", F.array(*ends).alias("ring"))
+
+
+def _in_diamonds(src: str, key: str) -> str:
+    """Shares of segments inside the diamonds, from the four half-planes that bound each."""
+    side = f"dsd AS (SELECT {key}, shp_idx, i*(x1-cx)/hw + j*(y1-cy)/hh - 1 AS p, i*(x2-x1)/hw + j*(y2-y1)/hh AS q FROM {src}, fx_footprints, (VALUES (1),(-1)) u(i), (VALUES (1),(-1)) v(j))"
+    return f"{side}, dia AS (SELECT {key}, shp_idx, greatest(0.0::DOUBLE, max(-p/q) FILTER (q < 0)) AS t0, least(1.0::DOUBLE, min(-p/q) FILTER (q > 0)) AS t1 FROM dsd GROUP BY {key}, shp_idx HAVING count(*) FILTER (q = 0 AND p >= 0) = 0), din AS (SELECT * FROM dia WHERE t1 - t0 > 1e-9)"
+
+
+@query("ring_sight_edges", PAIRS, "nrp AS (SELECT a, b, ax AS x1, ay AS y1, bx AS x2, by_ AS y2, dist FROM prs WHERE dist <= 50)", _in_diamonds("nrp", "a, b"), "SELECT a, b, round(dist,6)+0 AS dist FROM nrp WHERE NOT EXISTS (SELECT 1 FROM din WHERE din.a = nrp.a AND din.b = nrp.b)")
+def ring_sight_edges(fx):
+    """Lines of sight between polygons that are no boxes."""
+    e = J.near_pairs(fx.doors, "door_id", C.R_MAX).withColumns({"x1": c("a_x"), "y1": c("a_y"), "x2": c("b_x"), "y2": c("b_y")})
+    return J.visible(e, ["a", "b"], diamonds(fx)).select("a", "b", r6(c("dist")).alias("dist"))
+
+
+@query("ring_clip_length", _in_diamonds("fx_lines", "line_id"), "s AS (SELECT line_id, sum(t1-t0) AS share FROM din GROUP BY line_id)", "SELECT line_id, share IS NOT NULL AS crosses, round(coalesce(share,0)*sqrt((x1-x2)*(x1-x2)+(y1-y2)*(y1-y2)),5)+0 AS inside_len FROM fx_lines LEFT JOIN s USING (line_id)")
+def ring_clip_length(fx):
+    """Length of lines within polygons that are no boxes."""
+    return J.covered_length(fx.lines, ["line_id"], diamonds(fx)).select("line_id", "crosses", r6(c("inside_len"), 5).alias("inside_len"))
+
+
+@query("ring_cells", "SELECT CAST(shp_idx AS BIGINT) AS shp_idx, CAST(row_id AS INT) AS row_id, CAST(col_id AS INT) AS col_id FROM (SELECT unnest(range(100)) AS row_id) r, (SELECT unnest(range(100)) AS col_id) q, fx_footprints WHERE abs((col_id+0.5)*4-cx)/hw + abs(400-(row_id+0.5)*4-cy)/hh < 1 - 1e-12")
+def ring_cells(fx):
+    """Cells whose centre is inside polygons that are no boxes."""
+    return R.ring_cells(diamonds(fx))
+
+
 def _sd() -> str:
     def ps(px, py, a):
         t = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, (({px}-{a}.x1)*({a}.x2-{a}.x1)+({py}-{a}.y1)*({a}.y2-{a}.y1))/nullif(({a}.x2-{a}.x1)*({a}.x2-{a}.x1)+({a}.y2-{a}.y1)*({a}.y2-{a}.y1),0)))"

@@ -56,6 +56,12 @@ def dominant_class(fx):
     return X.along_lines(fx.lines, "line_id", layers(fx), [], "cls").where("cls is not null")
 
 
+@query("skeleton_score", LAYERS, _samples("fx_skeleton", "smp"), _ALONG, "SELECT line_id, round_even(0.7*signal+0.3*stability,4) AS skel_score FROM alg")
+def skeleton_score(fx):
+    """Skeleton lines by their signal and stability."""
+    return X.skeleton_scores(fx.skeleton, "line_id", layers(fx), "signal", "stability").select("line_id", "skel_score")
+
+
 _CEN = "cen AS (SELECT line_id, coalesce(n,0)::DOUBLE AS dens FROM fx_lines LEFT JOIN (SELECT row_id, col_id, count(*) AS n FROM dda GROUP BY 1, 2) d ON d.row_id = CAST(floor((400-(y1+y2)/2)/4) AS INT) AND d.col_id = CAST(floor((x1+x2)/2/4) AS INT))"
 _SC = "sc AS (SELECT line_id, signal, stability, dens, (line_id % 17)/17.0::DOUBLE AS betw, greatest(0, least(1, coalesce(signal/nullif((SELECT max(signal) FROM alg),0),0))) AS spec_norm, greatest(0, least(1, coalesce(stability/nullif((SELECT max(stability) FROM alg),0),0))) AS stab_norm, (line_id % 17)/17.0::DOUBLE/(16/17.0::DOUBLE) AS betw_norm, coalesce(dens/nullif((SELECT max(dens) FROM cen),0),0) AS circ_norm FROM alg JOIN cen USING (line_id))"
 

@@ -230,6 +230,36 @@ def test_sight_may_touch_but_not_enter(spark):
     assert {r.id for r in spatial_join.visible(segs, ["id"], box).collect()} == {1, 2, 3}
 
 
+def test_rings_of_any_shape(spark):
+    """An L-shaped and a turned building: sight, clipped lengths and cells against finely spaced points."""
+    ell = [(0, 0), (20, 0), (20, 6), (6, 6), (6, 20), (0, 20), (0, 0)]
+    turned = [(40 + 9 * math.cos(a), 10 + 5 * math.sin(a + 0.4)) for a in (0, 1.6, 3.1, 4.7)]
+    rings = {0: ell, 1: [*turned, turned[0]]}
+    polygons = spark.createDataFrame([(k, [(float(x), float(y)) for x, y in r]) for k, r in rings.items()], "shp_idx long, ring array<struct<x: double, y: double>>")
+
+    def inside(x, y, ring):
+        """Winding number by angles."""
+        turn = 0.0
+        for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False):
+            turn += math.atan2((ax - x) * (by - y) - (ay - y) * (bx - x), (ax - x) * (bx - x) + (ay - y) * (by - y))
+        return abs(turn) > math.pi
+
+    rng = random.Random(11)
+    rows = [(k, *(rng.uniform(-5, 55) if i % 2 == 0 else rng.uniform(-5, 25) for i in range(4))) for k in range(60)]
+    rows += [(100, -5.0, 0.0, 25.0, 0.0), (101, 6.0, 6.0, 6.0, 30.0), (102, 6.0, 10.0, 20.0, 10.0), (103, -1.0, 12.0, 20.0, 12.0), (104, 15.0, -2.0, -2.0, 15.0), (105, 10.0, 25.0, 25.0, 10.0)]
+    segments = spark.createDataFrame(rows, "id long, x1 double, y1 double, x2 double, y2 double")
+    got = {r.id: r for r in spatial_join.covered_length(segments, ["id"], polygons, 8.0).collect()}
+    seen = {r.id for r in spatial_join.visible(segments, ["id"], polygons, 8.0).collect()}
+    assert {100, 101, 102, 105} <= seen and not {103, 104} & seen and got[103].inside_len == pytest.approx(6)
+    for k, x1, y1, x2, y2 in rows[:60]:
+        n = 4000
+        share = sum(any(inside(x1 + (i + 0.5) / n * (x2 - x1), y1 + (i + 0.5) / n * (y2 - y1), r) for r in rings.values()) for i in range(n)) / n
+        assert got[k].inside_len == pytest.approx(share * math.hypot(x2 - x1, y2 - y1), abs=0.1)
+        assert (k in seen) == (not got[k].crosses)
+    cells = {(r.shp_idx, r.row_id, r.col_id) for r in raster.ring_cells(polygons, 40.0, 1.0).collect()}
+    assert cells == {(k, i, j) for k, r in rings.items() for i in range(40) for j in range(60) if inside(j + 0.5, 40 - (i + 0.5), r)}
+
+
 def test_overlapping_buildings_count_once(spark):
     box = spark.createDataFrame([(0, 5.0, 0.0, 2.0, 1.0), (1, 6.0, 0.0, 2.0, 1.0)], "shp_idx long, cx double, cy double, hw double, hh double")
     seg = spark.createDataFrame([(0, 0.0, 0.0, 10.0, 0.0)], "id long, x1 double, y1 double, x2 double, y2 double")
