@@ -29,6 +29,7 @@ from .common import frugal, small_batches, table, text_views
 DIM = 4096
 PER_LANGUAGE, CENTROIDS, ROUNDS = 400, 3, 10
 MAX_LANGUAGES = 1000
+PARTS = 64  # in which a language's texts are ranked
 REJECT_BELOW, FULL_GRAMS = 0.2, 400
 ROWS_AT_ONCE = 256
 
@@ -110,7 +111,9 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     df = np.array([found.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    first = hashed.select("lang", "h").distinct().withColumn("rn", F.row_number().over(W.Window.partitionBy("lang").orderBy("h"))).where(F.col("rn") <= per_language)
+    ranked = lambda df, *by: df.withColumn("rn", F.row_number().over(W.Window.partitionBy(*by).orderBy("h"))).where(F.col("rn") <= per_language)
+    # a language may hold most rows, so its least hashes are found in PARTS parts first
+    first = ranked(ranked(hashed.select("lang", "h").distinct().withColumn("part", F.spark_partition_id() % PARTS), "lang", "part"), "lang")
     limits = first.groupBy("lang").agg(F.max("h").alias("most")).limit(MAX_LANGUAGES + 1).collect()
     if len(limits) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
