@@ -143,13 +143,17 @@ def read_dxf_labels(spark: SparkSession, path: str) -> DataFrame:
 # ---- shapefiles (polygons and lines; the attribute table as text)
 
 
+def _stem(path: str) -> str:
+    return os.path.splitext(path)[0]
+
+
 def read_shapes(spark: SparkSession, path: str) -> DataFrame:
-    """(shp_idx, ring): the first part of every record of .shp files."""
+    """(file, shp_idx, ring): the first part of every record of .shp files; file has no extension, and read_attributes gives the same keys."""
 
     def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for content in part["content"]:
+            for name, content in zip(part["path"].map(_stem), part["content"], strict=True):
                 data, at, k = bytes(content), 100, 0
                 while at + 8 <= len(data):
                     size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
@@ -159,14 +163,95 @@ def read_shapes(spark: SparkSession, path: str) -> DataFrame:
                         n_parts, n_points = struct.unpack("<ii", body[36:44])
                         starts = struct.unpack(f"<{n_parts}i", body[44 : 44 + 4 * n_parts])
                         xy = np.frombuffer(body, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)[starts[0] : starts[1] if n_parts > 1 else n_points]
-                        rows.append((k, [{"x": float(x), "y": float(y)} for x, y in xy]))
+                        rows.append((name, k, [{"x": float(x), "y": float(y)} for x, y in xy]))
                     elif kind == 1:
-                        rows.append((k, [dict(zip("xy", struct.unpack("<dd", body[4:20]), strict=True))]))
+                        rows.append((name, k, [dict(zip("xy", struct.unpack("<dd", body[4:20]), strict=True))]))
                     k += 1
                     at += 8 + size
-            yield pd.DataFrame(rows, columns=["shp_idx", "ring"])
+            yield pd.DataFrame(rows, columns=["file", "shp_idx", "ring"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, f"file string, shp_idx long, ring array<{POINT}>")
+
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, f"shp_idx long, ring array<{POINT}>")
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(file, shp_idx, attributes): the columns of .dbf files as text; blank ones are NULL."""
+
+    def parse(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for name, content in zip(part["path"].map(_stem), part["content"], strict=True):
+                data = bytes(content)
+                n, head, size = struct.unpack("<IHH", data[4:12])
+                fields = [(data[at : at + 11].split(b"\0")[0].decode(), data[at + 16]) for at in range(32, head - 1, 32)]
+                for k in range(n):
+                    at, own = head + k * size + 1, {}
+                    for field, width in fields:
+                        own[field] = data[at : at + width].decode("utf-8", "replace").strip() or None
+                        at += width
+                    rows.append((name, k, own))
+            yield pd.DataFrame(rows, columns=["file", "shp_idx", "attributes"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, shp_idx long, attributes map<string, string>")
+
+
+def _field_names(columns: list[str]) -> list[str]:
+    """Names of ten characters at most, numbered where they would be equal."""
+    out: list[str] = []
+    for c in columns:
+        name, k = c[:10], 1
+        while name in out:
+            name, k = f"{c[: 9 - len(str(k))]}_{k}", k + 1
+        out.append(name)
+    return out
+
+
+def write_shapes(df: DataFrame, path: str, geometry: str, kind: str, columns: list[str]) -> None:
+    """A shapefile (path.shp, .shx and .dbf) on the driver's disk; geometry is a point or an array of points, its units stay.
+
+    Rows come one partition at a time and are written at once; the format itself ends at 2 GB. Names of columns are cut to ten
+    characters, texts to 254 bytes, NULL is blank.
+    """
+    code = {"Point": 1, "LineString": 3, "Polygon": 5}[kind]
+    types = dict(df.select(*columns).dtypes)
+    numeric = {c: types[c] in ("double", "float") or types[c].startswith("decimal") for c in columns}
+    whole = {c: types[c] in ("tinyint", "smallint", "int", "bigint") for c in columns}
+    fields = [(name, *((b"N", 24, 9) if numeric[c] else (b"N", 20, 0) if whole[c] else (b"C", 254, 0)), c) for name, c in zip(_field_names(columns), columns, strict=True)]
+
+    def shown(v, width: int, decimals: int) -> bytes:
+        text = "" if v is None else f"{v:.{decimals}f}" if decimals else str(v)
+        if len(text) > width and decimals:
+            text = f"{v:.{width - 8}e}"
+        return text.encode()[:width].decode("utf-8", "ignore").encode().ljust(width)
+
+    low, high, at, n = [np.inf, np.inf], [-np.inf, -np.inf], 100, 0
+    with open(f"{path}.shp", "wb") as shp, open(f"{path}.shx", "wb") as shx, open(f"{path}.dbf", "wb") as dbf:
+        shp.write(bytes(100))
+        shx.write(bytes(100))
+        head = 33 + 32 * len(fields)
+        dbf.write(bytes(32) + b"".join(struct.pack("<11sc4xBB14x", f.encode(), t, w, d) for f, t, w, d, _ in fields) + b"\r")
+        for row in df.select(F.col(geometry).alias("_g"), *columns).toLocalIterator():
+            points = [] if row["_g"] is None else [row["_g"]] if kind == "Point" else row["_g"]
+            xy = np.array([(p.x, p.y) for p in points], "<f8").reshape(-1, 2)
+            if not len(xy):
+                body = struct.pack("<i", 0)
+            else:
+                box = [*xy.min(axis=0), *xy.max(axis=0)]
+                low, high = np.minimum(low, box[:2]), np.maximum(high, box[2:])
+                body = struct.pack("<i", code) + (b"" if kind == "Point" else struct.pack("<4diii", *box, 1, len(xy), 0)) + xy.tobytes()
+            n += 1
+            shp.write(struct.pack(">ii", n, len(body) // 2) + body)
+            shx.write(struct.pack(">ii", at // 2, len(body) // 2))
+            at += 8 + len(body)
+            if at >= 1 << 31:
+                raise ValueError("a shapefile holds 2 GB at most")
+            dbf.write(b" " + b"".join(shown(row[c], w, d) for _, _, w, d, c in fields))
+        dbf.write(b"\x1a")
+        bounds = [*low, *high] if n and np.isfinite(low[0]) else [0.0] * 4
+        for f, size in ((shp, at), (shx, 100 + 8 * n)):
+            f.seek(0)
+            f.write(struct.pack(">i20xi", 9994, size // 2) + struct.pack("<ii8d", 1000, code, *bounds, 0, 0, 0, 0))
+        dbf.seek(0)
+        dbf.write(struct.pack("<4BIHH20x", 3, 126, 1, 1, n, head, 1 + sum(w for _, _, w, _, _ in fields)))
 
 
 # ---- rasters

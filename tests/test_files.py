@@ -38,6 +38,27 @@ def test_shapes(spark, tmp_path):
     assert row.shp_idx == 0 and [(p.x, p.y) for p in row.ring] == ring
 
 
+def test_shapefile_round_trip(spark, tmp_path):
+    """Rings, points and attributes come back; long names are cut and stay distinct, NULL and missing shapes stay so."""
+    rows = [(1, "é" * 200, 0.5, [(0.0, 0.0), (0.0, 2.0), (3.0, 2.0), (0.0, 0.0)]), (2, None, None, [(5.0, 5.0), (6.0, 5.0), (6.0, 7.5), (5.0, 5.0)]), (None, "b", -1e30, None)]
+    df = spark.createDataFrame(rows, f"id long, betweenness_name string, betweenness_value double, ring array<{S.POINT}>").coalesce(1)
+    S.write_shapes(df, str(tmp_path / "a"), "ring", "Polygon", ["id", "betweenness_name", "betweenness_value"])
+    shapes = {r.shp_idx: [tuple(p) for p in r.ring] for r in S.read_shapes(spark, str(tmp_path / "a.shp")).collect()}
+    assert shapes == {0: rows[0][3], 1: rows[1][3]}
+    told = {r.shp_idx: r.attributes for r in S.read_attributes(spark, str(tmp_path / "a.dbf")).collect()}
+    assert told[0] == {"id": "1", "betweennes": "é" * 127, "betweenn_1": "0.500000000"}
+    assert told[1] == {"id": "2", "betweennes": None, "betweenn_1": None} and told[2]["id"] is None and float(told[2]["betweenn_1"]) == -1e30
+    files = {S.read_shapes(spark, str(tmp_path / "a.shp")).first().file, S.read_attributes(spark, str(tmp_path / "a.dbf")).first().file}
+    assert len(files) == 1
+    size = (tmp_path / "a.shp").stat().st_size
+    assert struct.unpack(">i", (tmp_path / "a.shp").read_bytes()[24:28])[0] * 2 == size and (tmp_path / "a.shx").stat().st_size == 124
+    points = spark.createDataFrame([((1.0, 2.0),), ((3.0, 4.0),)], f"p {S.POINT}").coalesce(1)
+    S.write_shapes(points, str(tmp_path / "b"), "p", "Point", [])
+    assert [tuple(r.ring[0]) for r in S.read_shapes(spark, str(tmp_path / "b.shp")).collect()] == [(1, 2), (3, 4)]
+    S.write_shapes(points.limit(0), str(tmp_path / "c"), "p", "Point", [])
+    assert S.read_shapes(spark, str(tmp_path / "c.shp")).count() == 0 and S.read_attributes(spark, str(tmp_path / "c.dbf")).count() == 0
+
+
 def test_rasters(spark, tmp_path):
     grid = np.array([[1.5, np.nan, 3.0], [4.0, 5.0, -2.0]])
     (tmp_path / "a.tif").write_bytes(S.encode_tiff(grid, (10.0, 20.0), 0.5))
