@@ -145,6 +145,12 @@ def test_shortest_paths_both_ways(spark):
     assert got[0] == got[1]
 
 
+def test_components_of_a_long_path_by_joins(spark):
+    """small_components: a path numbered along its way is one component, however many cells it has."""
+    df = spark.range(100, 300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert sorted(tuple(r) for r in components(df, 0).collect()) == [(k, 100) for k in range(100, 301)]
+
+
 def test_clusters_are_components(spark):
     rng = random.Random(6)
     pts = [(i, rng.random() * 60, rng.random() * 60) for i in range(60)]
