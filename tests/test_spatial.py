@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lithoframe.functions import crs, scalars
 from lithoframe.functions import geometry as G
-from lithoframe.operators import circuit, corridors, embed, graph, hull, raster, scoring, spatial_join, spectral
+from lithoframe.operators import circuit, corridors, embed, graph, hull, raster, scoring, spatial_join, spectral, vectorise
 from lithoframe.operators.components import components
 from lithoframe.plans import catalog
 from lithoframe.plans.fixtures import Fixtures
@@ -64,6 +64,16 @@ def test_small_components_of_the_whole_grid(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_signal_skeleton_of_a_long_shape_by_joins(spark, monkeypatch):
+    """signal_skeleton: a column of 160 cells stays whole where components go by rounds of joins; its line has all cells and both ends."""
+    for m in (raster, vectorise):
+        monkeypatch.setattr(m, "components", lambda edges: components(edges, 0))
+    cells = spark.range(160).select(F.col("id").cast("int").alias("row_id"), F.lit(3).alias("col_id"))
+    assert raster.remove_small(cells).count() == 160
+    (line,) = vectorise.skeleton_to_lines(cells).collect()
+    assert (line.n_pixels, line.u, line.v) == (160, 3, (159 << 32) + 3)
+
+
 def test_nearest_line_beyond_the_first_radius(spark):
     """The search grows until every segment has its distance; without a network there is none."""
     line = lambda k, x: (k, float(x), 0.0, float(x), 10.0)
