@@ -156,7 +156,10 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 
 
 def gaussian(cells: DataFrame, value: str, sigma: float, rows: int, cols: int, out: str | None = None) -> DataFrame:
-    """Separable Gaussian over a full grid, mirrored at its edges with the edge cell repeated; NULL counts as 0."""
+    """Separable Gaussian over a grid, mirrored at its edges with the edge cell repeated; NULL and missing cells count as 0.
+
+    Only cells that there are get a value, along the first axis too: a last row that isn't full stays as it is.
+    """
     out, weights = out or value, gaussian_weights(sigma)
     r = len(weights) // 2
     df = cells.select("row_id", "col_id", F.coalesce(value, num(0)).alias("_v"))
@@ -170,7 +173,9 @@ def gaussian(cells: DataFrame, value: str, sigma: float, rows: int, cols: int, o
         ok = (F.col("_i") >= 0) & (F.col("_i") < n)
         w = F.element_at(F.array(*[num(x) for x in weights]), F.col("_k") + r + 1)
         other = "col_id" if axis == "row_id" else "row_id"
-        df = each.where(ok).groupBy(F.col("_i").cast("int").alias(axis), other).agg(F.sum(F.col("_v") * w).alias("_v"))
+        here = F.bool_or((F.col("_k") == 0) & (F.col("_i") == target))  # the cell itself is among what it gets
+        df = each.where(ok).groupBy(F.col("_i").cast("int").alias("_to"), other).agg(F.sum(F.col("_v") * w).alias("_v"), here.alias("_here"))
+        df = df.where("_here").select(F.col("_to").alias(axis), other, "_v")
     return df.select("row_id", "col_id", F.col("_v").alias(out))
 
 

@@ -74,6 +74,17 @@ def test_signal_skeleton_of_a_long_shape_by_joins(spark, monkeypatch):
     assert (line.n_pixels, line.u, line.v) == (160, 3, (159 << 32) + 3)
 
 
+def test_stability_proxy_of_a_last_row_that_is_not_full(spark, con, tmp_path):
+    """Against its SQL where the last row has 6 of 25 cells; beside them nothing is made up."""
+    con.execute(f"copy (select * from embeddings where vec_id < 81) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    own = duckdb.connect()
+    for t in TABLES:
+        own.execute(f"create view {t} as select * from read_parquet('{tmp_path if t == 'embeddings' else SF}/{t}.parquet')")
+    got = sorted(tuple(map(close, r)) for r in catalog.queries()["stability_proxy"](spark, str(tmp_path)).select("row_id", "col_id", "stability").collect())
+    want = sorted(tuple(map(close, r)) for r in own.execute(f"select row_id, col_id, stability from ({catalog.oracle_sql()['stability_proxy']})").fetchall())
+    assert len(want) == 81 and got == want
+
+
 def test_nearest_line_beyond_the_first_radius(spark):
     """The search grows until every segment has its distance; without a network there is none."""
     line = lambda k, x: (k, float(x), 0.0, float(x), 10.0)
