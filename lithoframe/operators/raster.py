@@ -2,6 +2,9 @@
 
 Cells are rows, so a stencil is a join of a cell with its neighbours: each cell sends its value to the cells whose
 result needs it, and one aggregation per cell gathers them. Larger kernels go axis by axis where they are separable.
+
+Files of cells are a few bytes a cell, so their size says little of the memory that a broadcast of them takes; joins of whole
+grids are therefore told to sort and merge.
 """
 
 from __future__ import annotations
@@ -146,7 +149,7 @@ def gather(cells: DataFrame, value: str, kernel: dict[tuple[int, int], float], o
     sent = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), num(w).alias("w")) for (i, j), w in kernel.items()]))
     each = cells.select("row_id", "col_id", F.col(value).alias("_v"), sent.alias("o"))
     each = each.select((F.col("row_id") - F.col("o.i")).cast("int").alias("row_id"), (F.col("col_id") - F.col("o.j")).cast("int").alias("col_id"), (F.coalesce("_v", num(0)) * F.col("o.w")).alias("_p"))
-    return cells.select("row_id", "col_id").join(each.groupBy("row_id", "col_id").agg(F.sum("_p").alias(out)), ["row_id", "col_id"], "left")
+    return cells.select("row_id", "col_id").hint("merge").join(each.groupBy("row_id", "col_id").agg(F.sum("_p").alias(out)).hint("merge"), ["row_id", "col_id"], "left")
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -241,7 +244,7 @@ def neighbours(cells: DataFrame, offsets: list[tuple[int, int]] | None = None) -
     sent = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
     a = cells.select(key(F.col("row_id"), F.col("col_id")).alias("a"), "row_id", "col_id", sent.alias("o"))
     a = a.select("a", key(F.col("row_id") + F.col("o.i"), F.col("col_id") + F.col("o.j")).alias("b"))
-    return a.join(cells.select(key(F.col("row_id"), F.col("col_id")).alias("b")), "b").select("a", "b")
+    return a.hint("merge").join(cells.select(key(F.col("row_id"), F.col("col_id")).alias("b")).hint("merge"), "b").select("a", "b")
 
 
 def remove_small(cells: DataFrame, least: int = C.OBJECT_MIN, offsets: list[tuple[int, int]] | None = None) -> DataFrame:
@@ -249,7 +252,7 @@ def remove_small(cells: DataFrame, least: int = C.OBJECT_MIN, offsets: list[tupl
     offsets = offsets or [(0, 1), (1, 0)]
     keyed = cells.select("row_id", "col_id", (F.col("row_id").cast("long") * F.lit(1 << 32) + F.col("col_id").cast("long")).alias("id"))
     comps = components(neighbours(cells, offsets)).select(F.col("node").alias("id"), "comp")
-    named = keyed.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    named = keyed.join(comps.hint("merge"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     big = named.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("comp")
     return named.join(big, "comp", "left_semi").select("row_id", "col_id")
 

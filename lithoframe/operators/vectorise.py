@@ -19,13 +19,13 @@ def skeleton_to_lines(cells: DataFrame, least: int = 1) -> DataFrame:
     deg = degrees(edges)
     ends = deg.where("degree <> 2").select(F.col("node").alias("t"))
     side = lambda x: ends.select(F.col("t").alias(x), F.lit(True).alias(f"{x}_end"))
-    marked = edges.join(side("a"), "a", "left").join(side("b"), "b", "left").select("a", "b", F.coalesce("a_end", F.lit(False)).alias("ta"), F.coalesce("b_end", F.lit(False)).alias("tb"))
+    marked = edges.join(side("a").hint("merge"), "a", "left").join(side("b").hint("merge"), "b", "left").select("a", "b", F.coalesce("a_end", F.lit(False)).alias("ta"), F.coalesce("b_end", F.lit(False)).alias("tb"))
     inner = marked.where("not ta and not tb").select("a", "b")
     nodes = deg.where("degree = 2").select("node")
-    comps = nodes.join(components(inner), "node", "left").select("node", F.coalesce("comp", "node").alias("chain"))
+    comps = nodes.join(components(inner).hint("merge"), "node", "left").select("node", F.coalesce("comp", "node").alias("chain"))
     touch = marked.where("ta != tb").select(F.when(F.col("ta"), F.col("b")).otherwise(F.col("a")).alias("node"), F.when(F.col("ta"), F.col("a")).otherwise(F.col("b")).alias("t"))
-    reach = comps.join(touch, "node").groupBy("chain").agg(F.min("t").alias("u"), F.max("t").alias("v"))
+    reach = comps.join(touch.hint("merge"), "node").groupBy("chain").agg(F.min("t").alias("u"), F.max("t").alias("v"))
     size = comps.groupBy("chain").agg(F.count("*").alias("inner"))
-    chains = size.join(reach, "chain", "left").select("chain", (F.col("inner") + F.when(F.col("u").isNull(), 0).otherwise(2)).alias("n_pixels"), "u", "v")
+    chains = size.join(reach.hint("merge"), "chain", "left").select("chain", (F.col("inner") + F.when(F.col("u").isNull(), 0).otherwise(2)).alias("n_pixels"), "u", "v")
     straight = marked.where("ta and tb").select(F.col("a").alias("chain"), F.lit(2).cast("long").alias("n_pixels"), F.col("a").alias("u"), F.col("b").alias("v"))
     return chains.unionByName(straight).where(F.col("n_pixels") >= least)

@@ -85,6 +85,15 @@ def test_stability_proxy_of_a_last_row_that_is_not_full(spark, con, tmp_path):
     assert len(want) == 81 and got == want
 
 
+def test_skeleton_lines_do_not_broadcast_grids(spark, tmp_path):
+    """skeleton_lines: files of cells look small, but their broadcast doesn't fit the driver's memory."""
+    spark.range(500).select((F.col("id") / 20).cast("int").alias("row_id"), (F.col("id") % 20).cast("int").alias("col_id")).write.parquet(str(tmp_path / "cells"))
+    cells = spark.read.parquet(str(tmp_path / "cells"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (raster.neighbours(cells), raster.erode(cells), vectorise.skeleton_to_lines(cells)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+
+
 def test_nearest_line_beyond_the_first_radius(spark):
     """The search grows until every segment has its distance; without a network there is none."""
     line = lambda k, x: (k, float(x), 0.0, float(x), 10.0)
