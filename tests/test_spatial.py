@@ -74,6 +74,49 @@ def test_signal_skeleton_of_a_long_shape_by_joins(spark, monkeypatch):
     assert (line.n_pixels, line.u, line.v) == (160, 3, (159 << 32) + 3)
 
 
+def test_signal_skeleton_against_thinning_in_memory(spark, tmp_path, monkeypatch):
+    """signal_skeleton: the whole query on 160 rows with a band through all of them, where components go by rounds of joins."""
+    for m in (raster, vectorise):
+        monkeypatch.setattr(m, "components", lambda edges: components(edges, 0))
+    rng = random.Random(5)
+    rows = [(k, 30.0 if k % 100 in (3, 4) or (k % 100 > 5 and rng.random() < 0.57) else 20.0) for k in range(16_000)]
+    spark.createDataFrame(rows, "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = Counter(tuple(r) for r in catalog.queries()["signal_skeleton"](spark, str(tmp_path)).collect())
+
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+    near = lambda x, offsets, cells: [y for i, j in offsets if (y := (x[0] + i, x[1] + j)) in cells]
+
+    def groups(left, offsets):
+        while left:
+            group = todo = [left.pop()]
+            for x in todo:  # it grows
+                found = near(x, offsets, left)
+                left.difference_update(found)
+                todo += found
+            yield group
+
+    strong = {divmod(k, 100) for k, v in rows if v > 25 and k % 97}
+    live, size = {x for g in groups(strong, ring[::2]) if len(g) >= 50 for x in g}, 0
+    while len(live) != size:
+        size = len(live)
+        for step in (0, 1):
+            gone = set()
+            for x in live:
+                p = [(x[0] + i, x[1] + j) in live for i, j in ring]
+                n, e, s, w = p[::2]
+                kept = (e and s and (n or w)) if step == 0 else (n and w and (e or s))
+                if 2 <= sum(p) <= 6 and sum(p[k] < p[(k + 1) % 8] for k in range(8)) == 1 and not kept:
+                    gone.add(x)
+            live = live - gone
+    key, want = lambda x: (x[0] << 32) + x[1], Counter()
+    inner = {x for x in live if len(near(x, ring, live)) == 2}
+    for g in groups(set(inner), ring):
+        ends = [key(y) for x in g for y in near(x, ring, live - inner)]
+        want[key(min(g)), len(g) + (2 if ends else 0), min(ends, default=None), max(ends, default=None)] += 1
+    want = Counter({k: n for k, n in want.items() if k[1] >= 5})
+    assert max(k[1] for k in want) > 150 and sum(want.values()) > 10 and got == want
+
+
 def test_stability_proxy_of_a_last_row_that_is_not_full(spark, con, tmp_path):
     """Against its SQL where the last row has 6 of 25 cells; beside them nothing is made up."""
     con.execute(f"copy (select * from embeddings where vec_id < 81) to '{tmp_path}/embeddings.parquet' (format parquet)")
